@@ -318,6 +318,41 @@ def predict(asked: DataFrame, model: DataFrame, keep_null_keys: bool = False) ->
     )
 
 
+def predict_wide(
+    events: DataFrame,
+    model: DataFrame,
+    configs: Sequence[Config],
+    cutoff: Column,
+    embargo: int = S.EMBARGO_DAYS,
+    keep_null_keys: bool = False,
+) -> DataFrame:
+    """One row per event with ``est_/support_/depth_<config>`` columns.
+
+    A question is (cutoff, route, stop, weekday, minute): it settles the answer of every
+    configuration, so all of them are resolved on the distinct questions and the events are
+    shuffled and joined once, however many configurations there are.
+    """
+    keys = ["cutoff", "route_name", "stop_id", "weekday", "scheduled_minute_of_service_day"]
+    dated = events.withColumn("cutoff", cutoff)
+    questions = dated.select(*keys, "day_type").distinct()
+    asked = ask(questions, configs, F.col("cutoff"), embargo)
+    answered = answer(asked, model, keep_null_keys)
+    columns = []
+    for c in configs:
+        mine = F.col("candidate") == c.name
+        for value, prefix in (("estimate", "est"), ("support", "support"), ("depth", "depth")):
+            columns.append(F.max(F.when(mine, F.col(value))).alias(f"{prefix}_{c.name}"))
+    wide = answered.groupBy(*keys).agg(*columns).alias("a")
+    condition = None
+    for k in keys:
+        nullable = k in ("route_name", "stop_id")
+        clause = _same(F.col(f"e.{k}"), F.col(f"a.{k}"), nullable)
+        condition = clause if condition is None else condition & clause
+    return dated.alias("e").join(wide, condition, "left").select(
+        "e.*", *[F.col(f"a.{c}") for c in wide.columns if c not in keys]
+    )
+
+
 def depth_usage(predicted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows and share per fallback level; a level nobody used shows with zero."""
     # ---- Fixed values: names of the levels

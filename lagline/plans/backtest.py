@@ -64,14 +64,60 @@ def best(summary: DataFrame, name: str = "candidate", metric: str = "mean_month_
 def cross_fitted_history(features: DataFrame, months: Sequence[str] = S.CROSS_FIT_MONTHS) -> DataFrame:
     """Each event with three estimates made only from history before its own week."""
     configs = [B.BY_NAME[n] for n in CROSS_FIT]
-    long = weekly(features, configs, months)
-    keep = [c for c in features.columns] + ["month", "cutoff"]
-    picked = {
-        n: F.max(F.when(F.col("candidate") == n, F.col("estimate"))).alias(f"est_{n}") for n in CROSS_FIT
-    }
-    slot = F.col("candidate") == "schedule_slot"
-    return long.groupBy(*keep).agg(
-        *picked.values(),
-        F.max(F.when(slot, F.log1p("support"))).alias("support_log"),
-        F.max(F.when(slot, F.col("depth"))).alias("depth"),
+    model = B.fit(features, [(c, B.week_cutoffs(months)) for c in configs])
+    wide = B.predict_wide(_period(features, months), model, configs, C.week_start(F.col("service_date")))
+    return wide.withColumn("support_log", F.log1p("support_schedule_slot")).withColumn(
+        "depth", F.col("depth_schedule_slot")
+    ).drop(*[f"{p}_{n}" for n in CROSS_FIT for p in ("support", "depth")])
+
+
+def audit_detail(
+    features: DataFrame,
+    candidate: B.Config,
+    refresh: str = "month",
+    months: Sequence[str] = (*S.DEVELOPMENT_MONTHS, S.AUDIT_MONTH),
+) -> DataFrame:
+    """Each event of the months with the candidate's and the baseline's estimate and errors.
+
+    The baseline is the original grouping refreshed monthly; the candidate may be refreshed
+    weekly. Both sit on the same row, so nothing has to be aligned afterwards.
+    """
+    base = B.BY_NAME["original_grouped"]
+    cutoffs = B.week_cutoffs(months) if refresh == "week" else B.month_cutoffs(months)
+    model = B.fit(features, [(base, B.month_cutoffs(months)), (candidate, cutoffs)])
+    rows = _period(features, months)
+    monthly_rows = B.predict_wide(rows, model, [base], F.col("month")).withColumnRenamed(
+        f"est_{base.name}", "baseline_prediction"
+    ).select(*features.columns, "month", "baseline_prediction")
+    cutoff = C.week_start(F.col("service_date")) if refresh == "week" else F.col("month")
+    both = B.predict_wide(monthly_rows, model, [candidate], cutoff).withColumnRenamed(
+        f"est_{candidate.name}", "prediction"
+    )
+    return errors(both).select(
+        "event_key",
+        "month",
+        "service_date",
+        "route_name",
+        "weekday",
+        "scheduled_minute_of_service_day",
+        "hour",
+        S.TARGET,
+        "prediction",
+        "baseline_prediction",
+        "error",
+        "baseline_error",
+        "within120",
+    )
+
+
+def errors(detail: DataFrame) -> DataFrame:
+    """Absolute errors of both estimates, the two-minute flag and the service hour."""
+    target = F.col(S.TARGET)
+    return detail.withColumns(
+        {
+            "error": F.abs(target - F.col("prediction")),
+            "baseline_error": F.abs(target - F.col("baseline_prediction")),
+            "within120": F.abs(target - F.col("prediction")) <= 120,
+            "hour": C.service_hour(F.col("scheduled_minute_of_service_day")),
+        }
     )

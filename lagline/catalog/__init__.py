@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load():
     from lagline.catalog import registry
-    from lagline.catalog import columns, contracts, profile, summaries  # noqa: F401
+    from lagline.catalog import backtests, columns, contracts, profile, summaries  # noqa: F401
 
     return registry
 

@@ -14,7 +14,7 @@ from lagline.operators.metrics import score
 CROSS_FIT = ["original_grouped", "schedule_slot", "day_type"]
 
 
-def _period(features: DataFrame, months: Sequence[str]) -> DataFrame:
+def period(features: DataFrame, months: Sequence[str]) -> DataFrame:
     wanted = F.lit(False)
     for month in months:
         wanted = wanted | C.in_months(F.col("service_date"), month)
@@ -24,17 +24,58 @@ def _period(features: DataFrame, months: Sequence[str]) -> DataFrame:
 def monthly(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
     """Estimates refreshed at each month start; one row per event and candidate."""
     model = B.fit(features, [(c, B.month_cutoffs(months)) for c in configs])
-    asked = B.ask(_period(features, months), configs, F.col("month"))
+    asked = B.ask(period(features, months), configs, F.col("month"))
     return B.predict(asked, model)
 
 
 def weekly(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
     """Estimates refreshed every seven days, counted from each month start."""
     model = B.fit(features, [(c, B.week_cutoffs(months)) for c in configs])
-    asked = B.ask(_period(features, months), configs, C.week_start(F.col("service_date")))
+    asked = B.ask(period(features, months), configs, C.week_start(F.col("service_date")))
     return B.predict(asked, model)
 
 
+def grid(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
+    """Rows to score per candidate and month."""
+    counts = period(features, months).groupBy("month").agg(F.count(F.lit(1)).alias("rows"))
+    names = F.array(*[F.lit(c.name) for c in configs])
+    return counts.select("month", "rows", F.explode(names).alias("candidate"))
+
+
+def history_windows(
+    features: DataFrame, plans: Sequence[tuple[B.Config, Sequence]], embargo: int = S.EMBARGO_DAYS
+) -> DataFrame:
+    """Rows and days inside the history of every candidate and cutoff.
+
+    Events are counted per day first; the windows meet days, never events.
+    """
+    days = features.groupBy("service_date").agg(F.count(F.lit(1)).alias("n"))
+    rows = [
+        (c.name, cutoff, w.start, w.hist_end)
+        for c, cutoffs in plans
+        for cutoff, w in zip(cutoffs, B.windows_for(c, cutoffs, embargo))
+    ]
+    windows = features.sparkSession.createDataFrame(
+        rows, "candidate string, cutoff date, hist_start date, hist_end date"
+    )
+    inside = (F.col("service_date") < F.col("hist_end")) & (
+        F.col("hist_start").isNull() | (F.col("service_date") >= F.col("hist_start"))
+    )
+    return days.join(F.broadcast(windows), inside).groupBy("candidate", "cutoff").agg(
+        F.sum("n").alias("rows"), F.min("service_date").alias("first_day"), F.max("service_date").alias("last_day")
+    )
+
+
+def pivoted_gains(scores: DataFrame, names: Sequence[str], original: str = "original_grouped") -> DataFrame:
+    """One row per month: every candidate's MAE and its percent gain over the original."""
+    wide = scores.groupBy("month").pivot("candidate", list(names)).agg(F.max("mae"))
+    return wide.select(
+        "month",
+        *names,
+        *[((1 - F.col(n) / F.col(original)) * 100).alias(f"gain_{n}") for n in names if n != original],
+    )
+
+
 def scored(predicted: DataFrame) -> DataFrame:
     return score(
         predicted.withColumn("error", F.abs(F.col(S.TARGET) - F.col("estimate"))), ["candidate", "month"]
@@ -65,7 +106,7 @@ def cross_fitted_history(features: DataFrame, months: Sequence[str] = S.CROSS_FI
     """Each event with three estimates made only from history before its own week."""
     configs = [B.BY_NAME[n] for n in CROSS_FIT]
     model = B.fit(features, [(c, B.week_cutoffs(months)) for c in configs])
-    wide = B.predict_wide(_period(features, months), model, configs, C.week_start(F.col("service_date")))
+    wide = B.predict_wide(period(features, months), model, configs, C.week_start(F.col("service_date")))
     return wide.withColumn("support_log", F.log1p("support_schedule_slot")).withColumn(
         "depth", F.col("depth_schedule_slot")
     ).drop(*[f"{p}_{n}" for n in CROSS_FIT for p in ("support", "depth")])
@@ -85,7 +126,7 @@ def audit_detail(
     base = B.BY_NAME["original_grouped"]
     cutoffs = B.week_cutoffs(months) if refresh == "week" else B.month_cutoffs(months)
     model = B.fit(features, [(base, B.month_cutoffs(months)), (candidate, cutoffs)])
-    rows = _period(features, months)
+    rows = period(features, months)
     monthly_rows = B.predict_wide(rows, model, [base], F.col("month")).withColumnRenamed(
         f"est_{base.name}", "baseline_prediction"
     ).select(*features.columns, "month", "baseline_prediction")

@@ -10,8 +10,8 @@ Levels, finest first::
 
 A fit serves many configurations and many cutoffs at once. Rows are reduced to counts per
 (keys, history step, delay), where a *step* is the stretch of days between two neighbouring
-window edges. Counts are then placed by the level's keys once, and the repetition over
-cutoffs happens inside that partitioning, so no shuffle carries history x cutoffs rows.
+window edges. Counts are then placed by the level's keys and sorted by delay once, and all
+cutoffs are answered in that one pass, so nothing carries history x cutoffs rows.
 Slot width and day key do not matter above level 1, so those levels are fitted once for all
 configurations that share a history window; the coarse levels are summed from the stop
 counts. The fitted levels are one written table, as a saved model is.
@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lagline import schema as S
 from lagline.functions import columns as C
-from lagline.functions.quantiles import weighted_percentile
 from lagline.sources.work import materialize
 
 GLOBAL_DEPTH = 4
@@ -53,8 +52,8 @@ TABLE_COLUMNS = {
     "median": "double",
     "n": "bigint",
 }
-# A driver-made lookup list is hinted for broadcast only up to this many rows.
-BROADCAST_ROWS = 200_000
+# Running counts carried side by side over one sorted pass.
+WINDOWS_PER_PASS = 16
 
 
 @dataclass(frozen=True)
@@ -110,11 +109,6 @@ def windows_for(config: Config, cutoffs: Iterable[dt.date], embargo: int) -> lis
     return [Window(config.days, c - dt.timedelta(days=embargo)) for c in cutoffs]
 
 
-def _frame(spark, rows: list[tuple], ddl: str) -> DataFrame:
-    frame = spark.createDataFrame(rows, ddl)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
-
-
 def _with_step(events: DataFrame, edges: list[dt.date]) -> DataFrame:
     """Number the stretch between window edges that each service date falls into.
 
@@ -127,11 +121,12 @@ def _with_step(events: DataFrame, edges: list[dt.date]) -> DataFrame:
         if first + dt.timedelta(days=offset) in starts:
             step += 1
         steps.append(step)
-    position = F.datediff("service_date", F.lit(first)) + 1
+    listed = ",".join(map(str, steps))
     return events.withColumn(
         "step",
-        F.when(position < 1, 0).otherwise(
-            F.element_at(F.array(*map(F.lit, steps)), F.least(position, F.lit(len(steps))))
+        F.expr(
+            f"""CASE WHEN service_date < DATE'{first}' THEN 0 ELSE element_at(array({listed}),
+            least(datediff(service_date, DATE'{first}') + 1, {len(steps)})) END"""
         ),
     )
 
@@ -148,7 +143,6 @@ def fit(
     hist_days, hist_end, keys); keys a level does not use are null. No minimum size is
     applied here and no null key dropped: both belong to the lookup, because callers differ.
     """
-    spark = events.sparkSession
     planned = [(c, w) for c, cutoffs in plans for w in windows_for(c, cutoffs, embargo)]
     windows = sorted({w for _, w in planned}, key=lambda w: (w.hist_days, w.hist_end))
     edges = sorted({w.hist_end for w in windows} | {w.start for w in windows if w.start})
@@ -166,32 +160,26 @@ def fit(
         ]
         for w in windows
     }
-    minute = F.col("scheduled_minute_of_service_day")
-    rows = _with_step(history, edges).select(
-        "step", "route_name", "stop_id", "weekday", "day_type", minute, F.col(S.TARGET).alias("value")
+    minute = "scheduled_minute_of_service_day"
+    rows = _with_step(history, edges).selectExpr(
+        "step", "route_name", "stop_id", "weekday", "day_type", minute, f"{S.TARGET} AS value"
     )
     shapes = sorted({(c.day, c.minutes) for c, _ in planned})
-    by_shape = F.array(*[
-        F.struct(
-            F.lit(day).alias("day_kind"),
-            F.lit(minutes).alias("minutes"),
-            F.col("weekday" if day == "weekday" else "day_type").alias("day_key"),
-            C.slot(minute, minutes).alias("slot"),
-        )
-        for day, minutes in shapes
-    ])
-    by_width = F.array(*[
-        F.struct(F.lit(minutes).alias("minutes"), C.slot(minute, minutes).alias("slot"))
-        for minutes in sorted({m for _, m in shapes})
-    ])
+    widths = sorted({m for _, m in shapes})
+    by_shape = ",".join(f"('{d}', {m}, int({d}), int({minute} div {m}))" for d, m in shapes)
+    by_width = ",".join(f"({m}, int({minute} div {m}))" for m in widths)
+    shaped = rows.selectExpr(
+        "*", f"inline(array({by_shape})) AS (day_kind, minutes, day_key, slot)"
+    )
+    sliced = rows.selectExpr("*", f"inline(array({by_width})) AS (minutes, slot)")
 
     def counted(frame: DataFrame, depth: int, n: Column) -> DataFrame:
         return frame.groupBy(*SHAPE_KEYS[depth], *GROUP_KEYS[depth], "step", "value").agg(n.alias("n"))
 
     one = F.count(F.lit(1))
     counts = {
-        0: counted(rows.select("*", F.explode(by_shape).alias("o")).select("*", "o.*"), 0, one),
-        1: counted(rows.select("*", F.explode(by_width).alias("o")).select("*", "o.*"), 1, one),
+        0: counted(shaped, 0, one),
+        1: counted(sliced, 1, one),
         2: materialize(counted(rows, 2, one), "stop-counts"),
     }
     counts[3] = counted(counts[2], 3, F.sum("n"))
@@ -200,29 +188,69 @@ def fit(
     tables = []
     for depth in range(GLOBAL_DEPTH + 1):
         keys = SHAPE_KEYS[depth] + GROUP_KEYS[depth]
-        served = {0: lambda c: (c.day, c.minutes), 1: lambda c: (c.minutes,)}.get(depth, lambda c: ())
-        pairs = sorted({(*served(c), k, w.hist_days, w.hist_end) for c, w in planned for k in reach[w]})
-        ddl = {0: "day_kind string, minutes int, ", 1: "minutes int, "}.get(depth, "")
-        steps = _frame(spark, pairs, ddl + "step int, hist_days int, hist_end date")
         placed = counts[depth].repartition(*keys) if keys else counts[depth]
-        table = (
-            placed.join(steps, SHAPE_KEYS[depth] + ["step"])
-            .groupBy(*keys, *WINDOW_KEYS)
-            .agg(weighted_percentile("value", 0.5).alias("median"), F.sum("n").alias("n"))
-            .withColumn("depth", F.lit(depth))
-        )
-        tables.append(
-            table.select(*[
-                F.col(c) if c in table.columns else F.lit(None).cast(t).alias(c)
-                for c, t in TABLE_COLUMNS.items()
-            ])
-        )
+        for first in range(0, len(windows), WINDOWS_PER_PASS):
+            batch = [(w, reach[w]) for w in windows[first : first + WINDOWS_PER_PASS]]
+            table = _medians(placed, keys, batch).withColumn("depth", F.lit(depth))
+            if depth < 2:
+                table = table.where(_served(depth, planned))
+            tables.append(
+                table.selectExpr(*[
+                    c if c in (*keys, *WINDOW_KEYS, "median", "n", "depth") else f"CAST(NULL AS {t}) AS {c}"
+                    for c, t in TABLE_COLUMNS.items()
+                ])
+            )
     model = tables[0]
     for table in tables[1:]:
         model = model.unionByName(table)
     return materialize(model, "fallback-model", ["depth"])
 
 
+def _medians(counts: DataFrame, keys: list[str], windows: list[tuple[Window, list[int]]]) -> DataFrame:
+    """Median and size per key and history window from (keys, step, value, n) rows.
+
+    Every key's values are sorted once. Running counts of all windows pass over that order
+    together; the median is where a window's running count crosses half of its total. The
+    input is placed by the keys already, so nothing is shuffled or repeated per window.
+    """
+    inside = [f"IF(step BETWEEN {steps[0]} AND {steps[-1]}, n, 0)" if steps else "0" for _, steps in windows]
+    order = f"PARTITION BY {', '.join(keys) or '1'} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    running = counts.selectExpr(
+        *keys,
+        "value",
+        *[f"sum({x}) OVER ({order} CURRENT ROW) AS upto{i}" for i, x in enumerate(inside)],
+        *[f"sum({x}) OVER ({order} UNBOUNDED FOLLOWING) AS all{i}" for i, x in enumerate(inside)],
+    )
+    picked = running.groupBy(*keys).agg(*[
+        F.expr(e)
+        for i, _ in enumerate(windows)
+        for e in (
+            f"max(all{i}) AS n{i}",
+            f"min(IF(upto{i} >= (all{i} + 1) div 2, value, NULL)) AS low{i}",
+            f"min(IF(upto{i} >= all{i} div 2 + 1, value, NULL)) AS high{i}",
+        )
+    ])
+    rows = ", ".join(
+        f"({w.hist_days}, DATE'{w.hist_end}', (double(low{i}) + double(high{i})) / 2, bigint(n{i}))"
+        for i, (w, _) in enumerate(windows)
+    )
+    return picked.selectExpr(*keys, f"inline(array({rows})) AS (hist_days, hist_end, median, n)").where("n > 0")
+
+
+def _served(depth: int, planned: Sequence[tuple[Config, Window]]) -> Column:
+    """Keep the windows some configuration of that slot width (and day key) asks for."""
+    asked: dict[tuple, set[tuple]] = {}
+    for c, w in planned:
+        shape = (c.day, c.minutes) if depth == 0 else (c.minutes,)
+        asked.setdefault(shape, set()).add((w.hist_days, w.hist_end))
+    clauses = []
+    for shape, pairs in sorted(asked.items()):
+        names = " AND ".join(f"{k} = {v!r}" for k, v in zip(SHAPE_KEYS[depth], shape))
+        listed = ", ".join(f"({days}, DATE'{end}')" for days, end in sorted(pairs))
+        clauses.append(f"({names} AND (hist_days, hist_end) IN ({listed}))")
+    return F.expr(" OR ".join(clauses))
+
+
 def ask(
     events: DataFrame,
     configs: Sequence[Config],
@@ -230,32 +258,26 @@ def ask(
     embargo: int = S.EMBARGO_DAYS,
 ) -> DataFrame:
     """Attach to each event what to look up: config, window and keys (one row per config)."""
-    options = F.array(*[
-        F.struct(
-            F.lit(c.name).alias("candidate"),
-            F.lit(c.day).alias("day_kind"),
-            F.lit(c.minutes).alias("minutes"),
-            F.lit(c.minimum).cast("bigint").alias("minimum"),
-            F.lit(c.days).alias("hist_days"),
-            C.slot(F.col("scheduled_minute_of_service_day"), c.minutes).alias("slot"),
-            F.col("weekday" if c.day == "weekday" else "day_type").alias("day_key"),
-        )
+    minute = "scheduled_minute_of_service_day"
+    options = ",".join(
+        f"('{c.name}', '{c.day}', {c.minutes}, bigint({c.minimum}), {c.days}, int({c.day}), int({minute} div {c.minutes}))"
         for c in configs
-    ])
-    return (
-        events.withColumn("cutoff", cutoff)
-        .withColumn("hist_end", F.date_sub("cutoff", embargo))
-        .withColumn("__o", F.explode(options))
-        .select("*", "__o.*")
-        .drop("__o")
+    )
+    return events.withColumn("cutoff", cutoff).selectExpr(
+        "*",
+        f"date_sub(cutoff, {embargo}) AS hist_end",
+        f"inline(array({options})) AS (candidate, day_kind, minutes, minimum, hist_days, day_key, slot)",
     )
 
 
 QUESTION = ["day_kind", "minutes", "minimum", "hist_days", "hist_end", "route_name", "stop_id", "day_key", "slot"]
 
 
-def _same(left: Column, right: Column, null_safe: bool) -> Column:
-    return left.eqNullSafe(right) if null_safe else left == right
+def _matching(keys: Sequence[str]) -> Column:
+    """Join condition e = a over keys of which route and stop may be missing."""
+    return F.expr(" AND ".join(
+        f"e.{k} {'<=>' if k in ('route_name', 'stop_id') else '='} a.{k}" for k in keys
+    ))
 
 
 def answer(questions: DataFrame, model: DataFrame, keep_null_keys: bool = False) -> DataFrame:
@@ -265,37 +287,24 @@ def answer(questions: DataFrame, model: DataFrame, keep_null_keys: bool = False)
     finest ones join by shuffle.
     """
     resolved = questions.alias("q")
-    hits = []
     for depth in range(GLOBAL_DEPTH + 1):
         keys = SHAPE_KEYS[depth] + GROUP_KEYS[depth] + WINDOW_KEYS
-        level = model.where(F.col("depth") == depth).select(
-            *[F.col(k).alias(f"k{depth}_{k}") for k in keys],
-            F.col("median").alias(f"median{depth}"),
-            F.col("n").alias(f"n{depth}"),
+        level = model.where(f"depth = {depth}").selectExpr(
+            *[f"{k} AS k{depth}_{k}" for k in keys], f"median AS median{depth}", f"n AS n{depth}"
         )
-        on = [
-            _same(F.col(f"q.{k}"), F.col(f"k{depth}_{k}"), keep_null_keys and k in GROUP_KEYS[depth])
-            for k in keys
-        ]
+        null_safe = GROUP_KEYS[depth] if keep_null_keys else []
+        on = [f"q.{k} {'<=>' if k in null_safe else '='} k{depth}_{k}" for k in keys]
         if depth < GLOBAL_DEPTH:
-            on.append(F.col(f"n{depth}") >= F.col("q.minimum"))
-        condition = on[0]
-        for clause in on[1:]:
-            condition = condition & clause
-        resolved = resolved.join(level, condition, "left")
-        hits.append(F.col(f"median{depth}").isNotNull())
-    depth = F.lit(None).cast("int")
-    support = F.lit(None).cast("bigint")
-    for level in reversed(range(GLOBAL_DEPTH + 1)):
-        depth = F.when(hits[level], level).otherwise(depth)
+            on.append(f"n{depth} >= q.minimum")
+        resolved = resolved.join(level, F.expr(" AND ".join(on)), "left")
+    found = [f"WHEN median{d} IS NOT NULL THEN" for d in range(GLOBAL_DEPTH + 1)]
+    levels = range(GLOBAL_DEPTH)
+    return resolved.selectExpr(
+        *[f"q.{c} AS {c}" for c in questions.columns],
+        f"coalesce({', '.join(f'median{d}' for d in range(GLOBAL_DEPTH + 1))}) AS estimate",
         # the global value is no evidence about this group
-        n = F.col(f"n{level}") if level < GLOBAL_DEPTH else F.lit(0).cast("bigint")
-        support = F.when(hits[level], n).otherwise(support)
-    return resolved.select(
-        *[F.col(f"q.{c}").alias(c) for c in questions.columns],
-        F.coalesce(*[F.col(f"median{d}") for d in range(GLOBAL_DEPTH + 1)]).alias("estimate"),
-        support.alias("support"),
-        depth.alias("depth"),
+        f"CASE {' '.join(f'{found[d]} n{d}' for d in levels)} {found[GLOBAL_DEPTH]} bigint(0) END AS support",
+        f"CASE {' '.join(f'{found[d]} {d}' for d in range(GLOBAL_DEPTH + 1))} END AS depth",
     )
 
 
@@ -307,13 +316,7 @@ def predict(asked: DataFrame, model: DataFrame, keep_null_keys: bool = False) ->
     """
     questions = asked.select(*QUESTION).distinct()
     answers = answer(questions, model, keep_null_keys).alias("a")
-    condition = None
-    for c in QUESTION:
-        clause = F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")) if c in ("route_name", "stop_id") else (
-            F.col(f"e.{c}") == F.col(f"a.{c}")
-        )
-        condition = clause if condition is None else condition & clause
-    return asked.alias("e").join(answers, condition, "left").select(
+    return asked.alias("e").join(answers, _matching(QUESTION), "left").select(
         "e.*", "a.estimate", "a.support", "a.depth"
     )
 
@@ -337,20 +340,14 @@ def predict_wide(
     questions = dated.select(*keys, "day_type").distinct()
     asked = ask(questions, configs, F.col("cutoff"), embargo)
     answered = answer(asked, model, keep_null_keys)
-    columns = []
-    for c in configs:
-        mine = F.col("candidate") == c.name
-        for value, prefix in (("estimate", "est"), ("support", "support"), ("depth", "depth")):
-            columns.append(F.max(F.when(mine, F.col(value))).alias(f"{prefix}_{c.name}"))
+    columns = [
+        F.expr(f"max(CASE WHEN candidate = '{c.name}' THEN {value} END) AS {prefix}_{c.name}")
+        for c in configs
+        for value, prefix in (("estimate", "est"), ("support", "support"), ("depth", "depth"))
+    ]
     wide = answered.groupBy(*keys).agg(*columns).alias("a")
-    condition = None
-    for k in keys:
-        nullable = k in ("route_name", "stop_id")
-        clause = _same(F.col(f"e.{k}"), F.col(f"a.{k}"), nullable)
-        condition = clause if condition is None else condition & clause
-    return dated.alias("e").join(wide, condition, "left").select(
-        "e.*", *[F.col(f"a.{c}") for c in wide.columns if c not in keys]
-    )
+    added = [f"a.{c}" for c in wide.columns if c not in keys]
+    return dated.alias("e").join(wide, _matching(keys), "left").select("e.*", *added)
 
 
 def depth_usage(predicted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

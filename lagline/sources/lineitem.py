@@ -1,7 +1,6 @@
 """Raw events derived from the benchmark's ``lineitem`` table.
 
-Integer arithmetic on the keys only, so that any engine derives the same rows. Every rule
-is written out here once; the checks restate it in SQL.
+Integer arithmetic on the keys only, so that any engine derives the same rows.
 """
 
 from __future__ import annotations
@@ -10,146 +9,107 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lagline import schema as S
 from lagline.functions.columns import status_band
+from lagline.sources.work import spread
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """The 19 ingested columns."""
-    items = spark.read.parquet(f"{folder}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("ok"),
-        F.col("l_partkey").alias("pk"),
-        F.col("l_suppkey").alias("sk"),
-        F.col("l_linenumber").cast("bigint").alias("ln"),
-        F.col("l_shipdate").cast("date").alias("shipped"),
+    items = spread(spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"
+    )).selectExpr(
+        "l_orderkey AS ok",
+        "l_partkey AS pk",
+        "l_suppkey AS sk",
+        "CAST(l_linenumber AS BIGINT) AS ln",
+        "CAST(l_shipdate AS DATE) AS shipped",
+        "(l_orderkey * 7919 + l_linenumber * 104729) % 1140 AS draw",
     )
-    bucket = F.col("sk") % 10
-    draw = (F.col("ok") * 7919 + F.col("ln") * 104729) % 1140
-    shaped = items.select(
+    shaped = items.selectExpr(
         "*",
-        F.date_add(
-            F.to_date(F.lit("2026-01-01")),
-            F.datediff("shipped", F.to_date(F.lit("1995-01-01"))) % 181,
-        ).alias("service_date"),
-        F.when(bucket <= 4, "1").when(bucket <= 7, "4").when(bucket == 8, "70").otherwise("X1").alias("route_name"),
-        (360 + F.when(draw % 40 == 0, draw).otherwise((draw % 8) * 60 + draw % 7)).cast("int").alias("minute"),
-        F.when(F.col("pk") % 200 == 0, 99).otherwise(F.col("pk") % 4).alias("stop_number"),
+        "date_add(DATE'2026-01-01', datediff(shipped, DATE'1995-01-01') % 181) AS service_date",
+        "CASE WHEN sk % 10 <= 4 THEN '1' WHEN sk % 10 <= 7 THEN '4' WHEN sk % 10 = 8 THEN '70' ELSE 'X1' END AS route_name",
+        "CAST(360 + IF(draw % 40 = 0, draw, (draw % 8) * 60 + draw % 7) AS INT) AS minute",
+        "IF(pk % 200 = 0, 99, pk % 4) AS stop_number",
     )
-    effect = (
-        F.when(F.col("route_name") == "1", 60)
-        .when(F.col("route_name") == "4", 0)
-        .when(F.col("route_name") == "70", 300)
-        .otherwise(120)
-    )
-    base = (
-        (F.col("pk") * 31 + F.col("ok") * 17 + F.col("ln") * 7) % 541
-        - 150
-        + effect
-        + F.when(F.col("minute").between(900, 959), 45).otherwise(0)
-        + F.when(F.col("pk") % 997 == 0, 3000).otherwise(0)
-    )
-    unmeasured = F.col("ok") % 1000 == 7
-    measured = shaped.select(
+    based = shaped.selectExpr(
         "*",
-        F.when(~unmeasured, base).cast("bigint").alias("deviation"),
-        F.when(~unmeasured & (F.col("ln") != 7), base + F.col("pk") % 9 - 4).cast("bigint").alias("delay"),
-        (
-            F.col("service_date").cast("timestamp_ntz")
-            + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"), F.lit(0))
-        ).alias("scheduled"),
-        (F.col("ln") != 7).alias("departs"),
+        """(pk * 31 + ok * 17 + ln * 7) % 541 - 150
+           + CASE route_name WHEN '1' THEN 60 WHEN '4' THEN 0 WHEN '70' THEN 300 ELSE 120 END
+           + IF(minute BETWEEN 900 AND 959, 45, 0) + IF(pk % 997 = 0, 3000, 0) AS base""",
+        "CAST(service_date AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, minute, 0) AS scheduled",
     )
-    actual = F.col("scheduled") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), F.col("deviation").cast("decimal(18,6)")
+    measured = based.selectExpr(
+        "*",
+        "IF(ok % 1000 = 7, NULL, base) AS deviation",
+        "IF(ok % 1000 = 7 OR ln = 7, NULL, base + pk % 9 - 4) AS delay",
     )
-    late_30 = F.col("scheduled") + F.expr("INTERVAL 30 SECONDS")
+    actual = "scheduled + make_dt_interval(0, 0, 0, CAST(deviation AS DECIMAL(18, 6)))"
+    # A departure without a measured departure may still have an actual arrival, and an
+    # arrival an actual departure: neither counts as the event's own actual time.
     return measured.select(
-        F.concat(F.lit("supplier-"), F.col("sk").cast("string"), F.lit(".zip")).alias("source_archive"),
-        F.concat(F.col("shipped").cast("string"), F.lit(".csv")).alias("source_file"),
-        ((F.col("ok") * 10 + F.col("ln")) * 1000000 + F.col("pk") % 1000000).alias("source_row_number"),
-        "service_date",
-        F.lit("Example Transit").alias("transit_system_name"),
-        "route_name",
-        F.when(F.col("sk") % 23 == 0, F.lit(None).cast("string"))
-        .when(F.col("ok") % 2 == 0, "Inbound")
-        .otherwise("Outbound")
-        .alias("direction_code"),
-        F.when(F.col("ok") % 5 == 0, F.concat((F.col("ok") % 97).cast("string"), F.lit(".5E+11")))
-        .otherwise(F.col("ok").cast("string"))
-        .alias("trip_id"),
-        F.concat(F.lit("v"), F.col("sk").cast("string")).alias("vehicle_id"),
-        F.concat(F.col("route_name"), F.lit("-"), F.col("stop_number").cast("string")).alias("stop_id"),
-        F.concat(
-            F.lit("Stop "),
-            F.col("stop_number").cast("string"),
-            F.when(F.col("pk") % 400 == 0, " North").otherwise(""),
-        ).alias("stop_name"),
-        F.col("ln").alias("stop_sequence"),
-        F.when(~F.col("departs"), F.col("scheduled")).alias("scheduled_arrival_time"),
-        F.when(F.col("departs"), F.col("scheduled")).alias("scheduled_departure_time"),
-        # A departure without a measured departure may still have an actual arrival, and
-        # an arrival an actual departure: neither counts as the event's own actual time.
-        F.when(~F.col("departs"), actual)
-        .when(F.col("deviation").isNull() & (F.col("ok") % 2 == 1), late_30)
-        .alias("actual_arrival_time"),
-        F.when(F.col("departs"), actual)
-        .when(F.col("ok") % 2 == 0, late_30)
-        .alias("actual_departure_time"),
-        F.col("delay").alias("delay_on_departure_seconds"),
-        F.col("deviation").alias("on_time_performance_deviation_seconds"),
+        *map(
+            F.expr,
+            [
+                "concat('supplier-', sk, '.zip') AS source_archive",
+                "concat(CAST(shipped AS STRING), '.csv') AS source_file",
+                "(ok * 10 + ln) * 1000000 + pk % 1000000 AS source_row_number",
+                "service_date",
+                "'Example Transit' AS transit_system_name",
+                "route_name",
+                "CASE WHEN sk % 23 = 0 THEN NULL WHEN ok % 2 = 0 THEN 'Inbound' ELSE 'Outbound' END AS direction_code",
+                "IF(ok % 5 = 0, concat(ok % 97, '.5E+11'), CAST(ok AS STRING)) AS trip_id",
+                "concat('v', sk) AS vehicle_id",
+                "concat(route_name, '-', stop_number) AS stop_id",
+                "concat('Stop ', stop_number, IF(pk % 400 = 0, ' North', '')) AS stop_name",
+                "ln AS stop_sequence",
+                "IF(ln = 7, scheduled, NULL) AS scheduled_arrival_time",
+                "IF(ln <> 7, scheduled, NULL) AS scheduled_departure_time",
+                f"""CASE WHEN ln = 7 THEN {actual}
+                    WHEN deviation IS NULL AND ok % 2 = 1 THEN scheduled + INTERVAL 30 SECONDS END AS actual_arrival_time""",
+                f"""CASE WHEN ln <> 7 THEN {actual}
+                    WHEN ok % 2 = 0 THEN scheduled + INTERVAL 30 SECONDS END AS actual_departure_time""",
+                "delay AS delay_on_departure_seconds",
+                "deviation AS on_time_performance_deviation_seconds",
+            ],
+        ),
         status_band(F.col("deviation")).alias("on_time_performance_status"),
     )
 
 
 def faulty_events(events: DataFrame) -> DataFrame:
     """The same events with faults planted by row number, one kind per residue."""
-    r = F.floor(F.col("source_row_number") / 1000000) % 101
-    deviation = F.col("on_time_performance_deviation_seconds")
-    return events.withColumns(
-        {
-            "scheduled_arrival_time": F.when(r == 3, F.col("scheduled_departure_time")).otherwise(
-                F.col("scheduled_arrival_time")
-            ),
-            "scheduled_departure_time": F.when(r == 5, F.lit(None).cast("timestamp_ntz")).otherwise(
-                F.col("scheduled_departure_time")
-            ),
-            "on_time_performance_deviation_seconds": F.when(r == 7, deviation + 1)
-            .when(r == 11, F.lit(None).cast("bigint"))
-            .otherwise(deviation),
-            "on_time_performance_status": F.when(r == 13, "Late")
-            .when(r == 17, "Delayed")
-            .otherwise(F.col("on_time_performance_status")),
-            "service_date": F.when(r == 19, F.date_sub("service_date", 2)).otherwise(F.col("service_date")),
-            "stop_name": F.when(r == 23, F.concat(F.col("stop_name"), F.lit(" "))).otherwise(F.col("stop_name")),
-            "direction_code": F.when(r == 29, F.concat(F.lit("In\t"), F.col("direction_code"))).otherwise(
-                F.col("direction_code")
-            ),
-        }
+    planted = {
+        "scheduled_arrival_time": "IF(r = 3, scheduled_departure_time, scheduled_arrival_time)",
+        "scheduled_departure_time": "IF(r = 5, NULL, scheduled_departure_time)",
+        "on_time_performance_deviation_seconds": """CASE r WHEN 7 THEN on_time_performance_deviation_seconds + 1
+            WHEN 11 THEN NULL ELSE on_time_performance_deviation_seconds END""",
+        "on_time_performance_status": "CASE r WHEN 13 THEN 'Late' WHEN 17 THEN 'Delayed' ELSE on_time_performance_status END",
+        "service_date": "IF(r = 19, date_sub(service_date, 2), service_date)",
+        "stop_name": "IF(r = 23, concat(stop_name, ' '), stop_name)",
+        "direction_code": r"IF(r = 29, concat('In\t', direction_code), direction_code)",
+    }
+    numbered = events.selectExpr("*", "source_row_number div 1000000 % 101 AS r")
+    return numbered.selectExpr(
+        *[f"{planted.get(c, c)} AS {c}" for c in S.PROVENANCE + S.RAW_COLUMNS]
     )
 
 
 def text_events(events: DataFrame) -> DataFrame:
     """The events as the text a delimited file would hold, with unreadable values planted."""
-    r = F.floor(F.col("source_row_number") / 1000000) % 103
 
-    def clock(c: str):
-        return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    def clock(c: str) -> str:
+        return f"""concat(date_format({c}, "yyyy-MM-dd'T'HH:mm:ss.SSS"), 'Z')"""
 
     text = {c: clock(c) for c in S.TIMESTAMPS}
-    text["service_date"] = F.when(r == 2, "31/31/2026").otherwise(F.date_format("service_date", "M/d/yyyy"))
-    text["scheduled_departure_time"] = F.when(
-        r == 4, F.date_format("scheduled_departure_time", "yyyy-MM-dd HH:mm:ss")
-    ).otherwise(clock("scheduled_departure_time"))
-    text["stop_sequence"] = (
-        F.when(r == 6, "12.5")
-        .when(r == 8, F.concat(F.col("stop_sequence").cast("string"), F.lit(".0")))
-        .when(r == 9, "2e1")
-        .otherwise(F.col("stop_sequence").cast("string"))
-    )
-    text["delay_on_departure_seconds"] = (
-        F.when(r == 10, "soon")
-        .when(F.col("delay_on_departure_seconds").isNull(), "NA")
-        .otherwise(F.col("delay_on_departure_seconds").cast("string"))
-    )
-    text["on_time_performance_deviation_seconds"] = F.col("on_time_performance_deviation_seconds").cast("string")
-    return events.select(
-        *S.PROVENANCE, *[text.get(c, F.col(c)).alias(c) for c in S.RAW_COLUMNS]
+    text["service_date"] = "IF(r = 2, '31/31/2026', date_format(service_date, 'M/d/yyyy'))"
+    text["scheduled_departure_time"] = f"""IF(r = 4, date_format(scheduled_departure_time, 'yyyy-MM-dd HH:mm:ss'),
+        {clock('scheduled_departure_time')})"""
+    text["stop_sequence"] = """CASE r WHEN 6 THEN '12.5' WHEN 8 THEN concat(stop_sequence, '.0') WHEN 9 THEN '2e1'
+        ELSE CAST(stop_sequence AS STRING) END"""
+    text["delay_on_departure_seconds"] = """CASE WHEN r = 10 THEN 'soon' WHEN delay_on_departure_seconds IS NULL THEN 'NA'
+        ELSE CAST(delay_on_departure_seconds AS STRING) END"""
+    text["on_time_performance_deviation_seconds"] = "CAST(on_time_performance_deviation_seconds AS STRING)"
+    numbered = events.selectExpr("*", "source_row_number div 1000000 % 103 AS r")
+    return numbered.selectExpr(
+        *S.PROVENANCE, *[f"{text[c]} AS {c}" if c in text else c for c in S.RAW_COLUMNS]
     )

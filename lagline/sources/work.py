@@ -21,3 +21,12 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of very few splits, such as one small file.
+
+    An input with at least as many splits as cores, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lagline import schema as S
@@ -73,13 +73,11 @@ class Encoder:
             f"__{c}": (F.col(c).cast("double") - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1])
             for c in S.NUMERICAL
         })
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [self.labels(c) for c in S.CATEGORICAL],
-            inputCols=[f"__{c}" for c in S.CATEGORICAL],
-            outputCols=[f"__{c}_index" for c in S.CATEGORICAL],
-            handleInvalid="keep",
-        )
-        indexed = indexer.transform(prepared)
+        indexed = prepared
+        for c in S.CATEGORICAL:
+            indexed = StringIndexerModel.from_labels(
+                self.labels(c), inputCol=f"__{c}", outputCol=f"__{c}_index", handleInvalid="keep"
+            ).transform(indexed)
         # "keep" gives unknown values one more index; dropping the last makes them all zero.
         encoder = OneHotEncoder(
             inputCols=[f"__{c}_index" for c in S.CATEGORICAL],

@@ -17,7 +17,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoints: str | None = None
+) -> SparkSession:
     """A session on this machine, for tests and the bench; a cluster supplies its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,22 +30,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def use_checkpoints(spark: SparkSession) -> str:
-    """Point Spark at the shared checkpoint folder the cluster names.
+    """The shared checkpoint folder the cluster names, made known to the context.
 
     Only a local session may fall back to a folder of this machine; on a cluster the
     setting has to be there, because a lost executor takes its local disk with it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _local_folders.get(context.applicationId)
+    if not folder:
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="lagline-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+        folder = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lagline-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder

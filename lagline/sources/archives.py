@@ -66,7 +66,7 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with _open(path) as archive:
                     found = [m for m in archive.infolist() if not m.is_dir() and m.filename.lower().endswith(".csv")]
-            except zipfile.BadZipFile as error:
+            except (zipfile.BadZipFile, ValueError) as error:
                 rows.append((name, path, None, None, f"not a readable archive: {error}"))
                 continue
             if not found:
@@ -93,7 +93,7 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             with archive.open(row["member"]) as stream:
                                 while stream.read(1 << 20):
                                     pass
-                except zipfile.BadZipFile as error:
+                except (zipfile.BadZipFile, ValueError) as error:
                     batch.at[i, "problem"] = str(error)
         yield batch
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lagline import schema as S
 from lagline.catalog import history_sql as H
 from lagline.catalog.prelude import over, real, whole
-from lagline.catalog.registry import clean, features, query
+from lagline.catalog.registry import feature_table, query
 from lagline.catalog.summaries import HISTOGRAM_SELECT, histogram_sql
 from lagline.functions import columns as C
 from lagline.operators import audit as A
@@ -65,7 +65,7 @@ def _levels_of(model, config):
     ),
 )
 def _(spark, folder):
-    model = B.fit(features(spark, folder), [(ORIGINAL, B.month_cutoffs(["2026-05-01"]))])
+    model = B.fit(feature_table(spark, folder), [(ORIGINAL, B.month_cutoffs(["2026-05-01"]))])
     return _levels_of(model, ORIGINAL)
 
 
@@ -74,7 +74,7 @@ def _(spark, folder):
     over("feat", _LEVELS, H.cut_list("a", SLOT, [dt.date(2026, 7, 3)]), *H.tables("a", SLOT)),
 )
 def _(spark, folder):
-    model = B.fit(features(spark, folder), [(SLOT, [dt.date.fromisoformat(S.FINAL_CUTOFF)])])
+    model = B.fit(feature_table(spark, folder), [(SLOT, [dt.date.fromisoformat(S.FINAL_CUTOFF)])])
     return _levels_of(model, SLOT)
 
 
@@ -89,7 +89,7 @@ _BASELINE = [
 
 
 def baseline(spark, folder):
-    return R.baseline_predictions(features(spark, folder))
+    return R.baseline_predictions(feature_table(spark, folder))
 
 
 @query(
@@ -113,7 +113,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    predicted = T.monthly(features(spark, folder), [SLOT], ["2026-05-01"])
+    predicted = T.monthly(feature_table(spark, folder), [SLOT], ["2026-05-01"])
     return predicted.select("event_key", "estimate", "support", "depth")
 
 
@@ -137,7 +137,7 @@ _WINDOWS = [(c, m) for c in B.CANDIDATES for m in B.month_cutoffs(DEV)]
     text=("cutoff", "first_day", "last_day"),
 )
 def _(spark, folder):
-    return T.history_windows(features(spark, folder), [(c, B.month_cutoffs(DEV)) for c in B.CANDIDATES])
+    return T.history_windows(feature_table(spark, folder), [(c, B.month_cutoffs(DEV)) for c in B.CANDIDATES])
 
 
 @query(
@@ -146,7 +146,7 @@ def _(spark, folder):
     text=("week_start",),
 )
 def _(spark, folder):
-    return features(spark, folder).select("event_key", C.week_start(F.col("service_date")).alias("week_start"))
+    return feature_table(spark, folder).select("event_key", C.week_start(F.col("service_date")).alias("week_start"))
 
 
 @query(
@@ -158,7 +158,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     stored = rows.where(F.col("data_split") == "validation").withColumn(
         S.TARGET, F.when(F.col("stop_sequence") == 1, F.col(S.TARGET) + 1).otherwise(F.col(S.TARGET))
     )
@@ -225,7 +225,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     return R.comparison(rows, R.baseline_metrics(R.baseline_predictions(rows)))
 
 
@@ -329,7 +329,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder).withColumn(
+    rows = feature_table(spark, folder).withColumn(
         "pair", F.concat_ws("@", "stop_id", F.col("scheduled_minute_of_service_day").cast("string"))
     )
     return P.unseen(rows, "pair")
@@ -346,7 +346,7 @@ def _(spark, folder):
     text=("month",),
 )
 def _(spark, folder):
-    return T.grid(features(spark, folder), B.CANDIDATES, DEV)
+    return T.grid(feature_table(spark, folder), B.CANDIDATES, DEV)
 
 
 # ---- backtests ------------------------------------------------------------------------------
@@ -365,7 +365,7 @@ _ALL_SCORES = _scores([c.name for c in B.CANDIDATES])
 
 
 def monthly_scores(spark, folder, configs=B.CANDIDATES, months=DEV):
-    return T.scored(T.monthly(features(spark, folder), configs, months))
+    return T.scored(T.monthly(feature_table(spark, folder), configs, months))
 
 
 @query("m12_monthly_backtest", over("feat", _ALL_SCORES, *_MONTHLY), text=("month",))
@@ -391,7 +391,7 @@ _WEEKLY_SLOT = H.backtest("w", SLOT, B.week_cutoffs(DEV), H.WEEK, _DEV_ROWS)
     text=("month",),
 )
 def _(spark, folder):
-    return T.scored(T.weekly(features(spark, folder), [SLOT], DEV))
+    return T.scored(T.weekly(feature_table(spark, folder), [SLOT], DEV))
 
 
 _SUMMARY = f"""SELECT candidate, {real('avg(mae)', 'mean_month_mae')}, {real('max(mae)', 'worst_month_mae')},
@@ -463,7 +463,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     first = T.scored(T.monthly(rows, B.CANDIDATES, DEV))
     second = T.scored(T.weekly(rows, [ORIGINAL], DEV)).withColumn("candidate", F.lit("original_grouped_weekly"))
     return T.best(T.candidate_summary(first.unionByName(second)))
@@ -493,7 +493,7 @@ _HISTORY_JOIN = """hist AS (SELECT a.*, a.est AS est_original_grouped, b.est AS
     text=("cutoff",),
 )
 def _(spark, folder):
-    return T.cross_fitted_history(features(spark, folder)).select(
+    return T.cross_fitted_history(feature_table(spark, folder)).select(
         "event_key", "cutoff", "est_original_grouped", "est_schedule_slot", "est_day_type", "support_log", "depth"
     )
 
@@ -512,7 +512,7 @@ _DETAIL = [
 
 
 def detail(spark, folder):
-    return T.audit_detail(features(spark, folder), SLOT, refresh="week")
+    return T.audit_detail(feature_table(spark, folder), SLOT, refresh="week")
 
 
 _DETAIL_COLUMNS = f"""SELECT event_key, month, service_date, route_name, weekday, scheduled_minute_of_service_day, hour,
@@ -537,7 +537,7 @@ def _(spark, folder):
     text=("month",),
 )
 def _(spark, folder):
-    return T.audit_detail(features(spark, folder), B.BY_NAME["day_type"]).select(
+    return T.audit_detail(feature_table(spark, folder), B.BY_NAME["day_type"]).select(
         "event_key", "month", "prediction", "baseline_prediction"
     )
 
@@ -601,7 +601,7 @@ _METHODS = {"original_grouped": "db", "weekly_original_grouped": "wo", "selected
     text=("month",),
 )
 def _(spark, folder):
-    return P.method_scores(features(spark, folder), SLOT, ALL)
+    return P.method_scores(feature_table(spark, folder), SLOT, ALL)
 
 
 _ROUTES = "routes AS (SELECT month, route_name, count(*) AS rows, avg(error) AS mae, avg(CAST(within120 AS INTEGER)) AS within120 FROM detail GROUP BY month, route_name)"
@@ -741,7 +741,7 @@ _FINAL = [
     text=("month",),
 )
 def _(spark, folder):
-    return P.final_scores(features(spark, folder), SLOT, ALL)
+    return P.final_scores(feature_table(spark, folder), SLOT, ALL)
 
 
 @query(
@@ -756,7 +756,7 @@ def _(spark, folder):
     text=("month",),
 )
 def _(spark, folder):
-    return P.weekly_control(features(spark, folder), ALL)
+    return P.weekly_control(feature_table(spark, folder), ALL)
 
 
 @query(
@@ -764,7 +764,7 @@ def _(spark, folder):
     over("feat", f"SELECT {whole('count(*)', 'rows')}, {whole('sum(departure_delay_seconds)', 'delay_sum')} FROM feat WHERE data_split IN ('train', 'validation')"),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     parts = [rows.where(F.col("data_split") == s) for s in ("train", "validation")]
     return parts[0].unionByName(parts[1]).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(S.TARGET).alias("delay_sum")
@@ -776,7 +776,7 @@ def _(spark, folder):
     over("feat", "SELECT event_key FROM feat ORDER BY md5(event_key || '-42'), event_key LIMIT 5000"),
 )
 def _(spark, folder):
-    return sample_rows(features(spark, folder), "event_key", 5000).select("event_key")
+    return sample_rows(feature_table(spark, folder), "event_key", 5000).select("event_key")
 
 
 _CODE_SOURCES = {"route_name": "route_name", "direction_code": "direction_code", "stop_id": "stop_id"}
@@ -799,7 +799,7 @@ _CODE_SOURCES = {"route_name": "route_name", "direction_code": "direction_code",
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     tables = ordinal_codes(rows.where(F.col("data_split") == "train"), list(_CODE_SOURCES))
     coded = encode_ordinal(rows.where(F.col("data_split") == "test"), tables)
     return coded.select("event_key", *[f"code_{c}" for c in _CODE_SOURCES])
@@ -812,7 +812,7 @@ def requests(spark, folder):
     """Every departure asks for an estimate; some ask for what cannot be answered."""
     r = F.col("stop_sequence")
     late = F.col("scheduled_minute_of_service_day") == 1440
-    return features(spark, folder).select(
+    return feature_table(spark, folder).select(
         "event_key",
         F.when(late, F.date_add("service_date", 200)).otherwise(F.col("service_date")).alias("service_date"),
         "route_name", "stop_id", "direction_code",
@@ -840,7 +840,7 @@ _REQUESTS = [
 
 @query("m29_request_guards", over("feat", "SELECT event_key, rejected FROM judged", *_REQUESTS))
 def _(spark, folder):
-    return scoring.judge(requests(spark, folder), features(spark, folder)).select("event_key", "rejected")
+    return scoring.judge(requests(spark, folder), feature_table(spark, folder)).select("event_key", "rejected")
 
 
 _ASKED_MONTHS = ["2026-06-01", "2026-07-01"]
@@ -869,7 +869,7 @@ _SCORED = [
     text=("history_before",),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     return scoring.historical_estimates(requests(spark, folder), rows).select(
         "event_key", "baseline_prediction", "est_original_grouped", "est_schedule_slot", "est_day_type",
         "historical_group_records", "depth", "history_before",
@@ -884,6 +884,6 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = features(spark, folder)
+    rows = feature_table(spark, folder)
     live = scoring.historical_estimates(rows.where(F.col("data_split") == "test"), rows)
     return P.request_against_backtest(live, T.audit_detail(rows, SLOT, refresh="week"))

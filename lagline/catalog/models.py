@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagline import schema as S
-from lagline.catalog.registry import features, query
+from lagline.catalog.registry import feature_table, query
 from lagline.operators import encoding as N
 from lagline.operators import metrics as M
-from lagline.operators.audit import gate
 from lagline.plans import backtest as T
 from lagline.plans import boosting as G
 from lagline.plans import regression as R
@@ -16,11 +15,6 @@ from lagline.catalog.prelude import over, real, whole
 from lagline.sources.work import materialize
 
 
-def stored(spark, folder):
-    """Features as the written table a fit would read; the fits scan them many times."""
-    return materialize(features(spark, folder), "features")
-
-
 @query(
     "m3_category_counts",
     over(
@@ -33,7 +27,7 @@ def stored(spark, folder):
     ),
 )
 def _(spark, folder):
-    counts = N.category_counts(features(spark, folder).where(F.col("data_split") == "train"))
+    counts = N.category_counts(feature_table(spark, folder).where(F.col("data_split") == "train"))
     return counts.withColumn("rare", F.col("n") < N.RARE_BELOW)
 
 
@@ -48,30 +42,30 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return N.numeric_moments(features(spark, folder).where(F.col("data_split") == "train"))
+    return N.numeric_moments(feature_table(spark, folder).where(F.col("data_split") == "train"))
 
 
 @query("m4_ridge")
 def ridge(spark, folder):
-    scores, _ = R.compare_candidates(stored(spark, folder), ("ridge",))
+    scores, _ = R.compare_candidates(feature_table(spark, folder), ("ridge",))
     return scores
 
 
 @query("m5_random_forest")
 def forest(spark, folder):
-    scores, _ = R.compare_candidates(stored(spark, folder), ("random_forest",))
+    scores, _ = R.compare_candidates(feature_table(spark, folder), ("random_forest",))
     return scores
 
 
 @query("m6_candidate_selection")
 def _(spark, folder):
-    scores, chosen = R.compare_candidates(stored(spark, folder))
+    scores, chosen = R.compare_candidates(feature_table(spark, folder))
     return scores.withColumn("selected_for_test", F.col("model") == R.MODELS[chosen])
 
 
 @query("m7_final_test_scores")
 def _(spark, folder):
-    predicted, _, _ = R.final_predictions(stored(spark, folder), "ridge")
+    predicted, _, _ = R.final_predictions(feature_table(spark, folder), "ridge")
     return R.regression_metrics(
         predicted.withColumn("model", F.lit(R.MODELS["ridge"])), ["model"], "predicted_departure_delay_seconds"
     )
@@ -79,16 +73,16 @@ def _(spark, folder):
 
 @query("m8_importance")
 def _(spark, folder):
-    encoder, model = R.fit_model("ridge", stored(spark, folder).where(F.col("data_split") != "test"))
+    encoder, model = R.fit_model("ridge", feature_table(spark, folder).where(F.col("data_split") != "test"))
     return R.importance(spark, encoder, model)
 
 
 # ---- residual boosting; fewer rounds than the fixed setting keep the check short -------------
-ROUNDS = 20
+ROUNDS = 10
 
 
 def history(spark, folder):
-    return materialize(T.cross_fitted_history(features(spark, folder)), "history")
+    return materialize(T.cross_fitted_history(feature_table(spark, folder)), "history")
 
 
 @query("m21_residual_boost")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lagline import schema as S
 from lagline.catalog.prelude import band, over, real, whole
-from lagline.catalog.registry import clean, features, query, raw
+from lagline.catalog.registry import event_table, query, raw
 from lagline.operators import profile as A
 from lagline.operators import summaries as M
 
@@ -77,7 +77,7 @@ _TOP = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "colu
     ),
 )
 def column_profile(spark, folder):
-    return A.column_profile(raw(spark, folder), _COLUMNS)
+    return A.column_profile(event_table(spark, folder), _COLUMNS)
 
 
 @query(
@@ -91,7 +91,7 @@ def column_profile(spark, folder):
     ),
 )
 def _(spark, folder):
-    return A.small_value_counts(raw(spark, folder), _COLUMNS)
+    return A.small_value_counts(event_table(spark, folder), _COLUMNS)
 
 
 def _numeric(column: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lagline.operators import events as E
 from lagline.sources.lineitem import raw_events
+from lagline.sources.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +53,27 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     return E.with_day_keys(E.regression_features(clean(spark, folder)))
+
+
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(name: str, build, spark: SparkSession, folder: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _tables:
+        _tables[key] = materialize(build(spark, folder), name)
+    return _tables[key]
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The regression features as a written table, built once per session and folder.
+
+    Backtests, audits and models start from the stored feature table, as they do in
+    production; only its first user pays for building it.
+    """
+    return _stored("features", features, spark, folder)
+
+
+def event_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The ingested events as a written table, for profiles that pass over it repeatedly."""
+    return _stored("events", raw, spark, folder)

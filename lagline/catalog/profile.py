@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lagline import schema as S
 from lagline.catalog.prelude import band, over, real, whole
-from lagline.catalog.registry import event_table, query, raw
+from lagline.catalog.registry import clean, event_table, query, raw
 from lagline.operators import profile as A
 from lagline.operators import summaries as M
 

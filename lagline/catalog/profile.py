@@ -293,14 +293,18 @@ def _(spark, folder):
 
 @query(
     "j6_missing_dates",
-    """WITH seen AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 13 = 0),
-    spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM seen), (SELECT max(day) FROM seen), INTERVAL 1 DAY)) AS DATE) AS day)
-    SELECT day FROM spine WHERE day NOT IN (SELECT day FROM seen)""", text=("day",))
+    over(
+        "raw",
+        """SELECT s.stop_id, s.day FROM spine s WHERE NOT EXISTS
+        (SELECT 1 FROM seen e WHERE e.stop_id = s.stop_id AND e.day = s.day)""",
+        "seen AS (SELECT DISTINCT stop_id, service_date AS day FROM raw)",
+        """spine AS (SELECT stop_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day
+        FROM (SELECT stop_id, CAST(min(day) AS TIMESTAMP) AS a, CAST(max(day) AS TIMESTAMP) AS b FROM seen GROUP BY stop_id))""",
+    ),
+    text=("day",),
+)
 def _(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    return A.missing_dates(
-        orders.where("o_orderkey % 7 = 0 AND o_custkey % 13 = 0").select(F.col("o_orderdate").cast("date").alias("day")), "day"
-    )
+    return A.missing_dates(raw(spark, folder), "service_date", ["stop_id"])
 
 
 @query(

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lagline import schema as S
-from lagline.functions import columns as C
 from lagline.sources.work import materialize
 
 GLOBAL_DEPTH = 4

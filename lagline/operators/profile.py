@@ -314,13 +314,13 @@ def date_coverage(df: DataFrame, day: str = "service_date") -> DataFrame:
     )
 
 
-def missing_dates(df: DataFrame, day: str = "service_date") -> DataFrame:
-    """Days between the first and last one on which nothing was recorded."""
-    seen = df.select(F.col(day).alias("day")).where(F.col("day").isNotNull()).distinct()
-    spine = seen.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(
-        F.explode(F.sequence("a", "b")).alias("day")
+def missing_dates(df: DataFrame, day: str = "service_date", keys: Sequence[str] = ()) -> DataFrame:
+    """Days between the first and last one on which nothing was recorded, per key if any."""
+    seen = df.select(*keys, F.col(day).alias("day")).where(F.col("day").isNotNull()).distinct()
+    spine = seen.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(
+        *keys, F.explode(F.sequence("a", "b")).alias("day")
     )
-    return spine.join(seen, "day", "left_anti")
+    return spine.join(seen, [*keys, "day"], "left_anti")
 
 
 def duplicates(df: DataFrame, columns: Sequence[str] = tuple(S.RAW_COLUMNS)) -> DataFrame:

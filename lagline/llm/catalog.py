@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagline.llm import exact_dedup, simhash
+from lagline.llm import exact_dedup, mixing, simhash, substring_dedup
 from lagline.llm.common import documents
 
 
@@ -14,14 +14,26 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeated(documents(spark, folder))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op9_exact_dedup)
+    f.__name__: f for f in (op3_simhash, op4_mixing, op8_substring_dedup, op9_exact_dedup)
+}
+ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
+    "op9_exact_dedup": exact_dedup.SQL,
 }
-ORACLE: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL}
 
 
 def queries():

@@ -78,11 +78,13 @@ def _shares(pieces: DataFrame, keys: Sequence[str], piece: str) -> DataFrame:
     return pieces.withColumn("given", F.greatest(F.lit(0), F.least("words", given)).cast("long"))
 
 
-def _same(a: DataFrame, b: DataFrame, *columns: str):
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which null equals null; the keys come from ``a``."""
+    other = b.withColumnsRenamed({k: f"other_{k}" for k in keys})
     condition = F.lit(True)
-    for c in columns:
-        condition = condition & a[c].eqNullSafe(b[c])
-    return condition
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"other_{k}"))
+    return a.join(other, condition, how).drop(*(f"other_{k}" for k in keys))
 
 
 def dealt(drawn: DataFrame, shards: int, seed: str) -> DataFrame:
@@ -107,7 +109,7 @@ def dealt(drawn: DataFrame, shards: int, seed: str) -> DataFrame:
     quotas = tree.groupBy("source", "node").agg(F.count(F.lit(1)).alias("quota"))
     upto = F.sum("quota").over(W.partitionBy("source").orderBy("node"))
     quotas = quotas.withColumn("upto", upto).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("upto", "node"))).alias("quotas"))
-    joined = blocks.join(quotas, _same(blocks, quotas, "source")).drop(quotas["source"])
+    joined = _joined(blocks, quotas, ["source"])
     shard = F.filter("quotas", lambda q: q["upto"] >= F.col("ticket"))[0]["node"]
     return joined.select("source", "block", "turn", shard.alias("shard"))
 
@@ -126,26 +128,22 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     turns = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("turns", turns).withColumn("rest", goal - F.col("turns") * F.col("source_size"))
     plan = materialize(plan, "mix-targets")
-    shares = blocks.join(plan, _same(blocks, plan, "source")).drop(plan["source"])
-    shares = materialize(_shares(shares, ["source"], "block"), "mix-shares")
+    shares = materialize(_shares(_joined(blocks, plan, ["source"]), ["source"], "block"), "mix-shares")
 
     each_turn = F.explode(F.sequence(F.lit(0), F.col("turns")))
     drawn = shares.select("source", "block", "words", "turns", "given", each_turn.alias("turn"))
     drawn = drawn.where(F.when(F.col("turn") < F.col("turns"), F.col("words")).otherwise(F.col("given")) > 0)
     deals = dealt(drawn.select("source", "block", "turn"), shards, seed)
     deals = deals.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "shard"))).alias("deals"))
-    table = shares.join(deals, _same(shares, deals, "source", "block"), "left").drop(deals["source"]).drop(deals["block"])
-    table = materialize(table, "mix-deals")
+    table = materialize(_joined(shares, deals, ["source", "block"], "left"), "mix-deals")
 
-    known = rows.join(table, _same(rows, table, "source", "block")).drop(table["source"]).drop(table["block"])
+    known = _joined(rows, table, ["source", "block"])
     in_part = (F.col("given") > 0) & (F.col("given") < F.col("words"))
     whole = known.where(~in_part).withColumn("last", F.when(F.col("given") > 0, F.col("size")).otherwise(F.lit(0)))
     part = known.where(in_part).withColumn("rest", F.col("given")).drop("words", "given")
     pieces = part.groupBy("source", "block", "piece").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     pieces = _shares(pieces, ["source", "block"], "piece").select("source", "block", "piece", "words", "given")
-    cut = part.join(pieces, _same(part, pieces, "source", "block", "piece"))
-    for c in ("source", "block", "piece"):
-        cut = cut.drop(pieces[c])
+    cut = _joined(part, pieces, ["source", "block", "piece"])
     edge = (F.col("given") > 0) & (F.col("given") < F.col("words"))
     inside = cut.where(~edge).withColumn("last", F.when(F.col("given") > 0, F.col("size")).otherwise(F.lit(0)))
     before = W.partitionBy("source", "block", "piece").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)

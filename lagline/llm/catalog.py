@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagline.llm import exact_dedup, mixing, simhash, substring_dedup
+from lagline.llm import decontamination, exact_dedup, mixing, simhash, substring_dedup
 from lagline.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.findings(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeated(documents(spark, folder))
 
@@ -27,7 +31,13 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_mixing, op8_substring_dedup, op9_exact_dedup)
+    f.__name__: f for f in (
+        op3_simhash,
+        op4_mixing,
+        op7_decontamination,
+        op8_substring_dedup,
+        op9_exact_dedup,
+    )
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": mixing.SQL,

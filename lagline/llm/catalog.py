@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagline.llm import decontamination, exact_dedup, mixing, simhash, substring_dedup
+from lagline.llm import decontamination, exact_dedup, mixing, quality, simhash, substring_dedup, toxicity
 from lagline.llm.common import documents
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.scores(docs, quality.fit(docs, labels(spark, folder)))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.scores(docs, toxicity.fit(docs, labels(spark, folder)))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
 
@@ -32,6 +46,8 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_quality,
+        op2_toxicity,
         op3_simhash,
         op4_mixing,
         op7_decontamination,
@@ -46,6 +62,15 @@ ORACLE: dict[str, str] = {
 }
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def queries():
     return dict(QUERIES)
 

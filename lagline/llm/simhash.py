@@ -212,3 +212,15 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, limit: int = BU
     return rows.join(answer, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents without a doc_id stay unless they share a group with one that has it. Rows that
+    repeat a doc_id are not told apart from each other.
+    """
+    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
+    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    gone = gone.select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from lagline.llm import decontamination, exact_dedup, mixing, quality, simhash, substring_dedup, toxicity
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lagline.llm import (
+    decontamination,
+    exact_dedup,
+    language,
+    licenses,
+    mixing,
+    pseudonyms,
+    quality,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from lagline.llm.common import documents
 
 
+# The registered query's key; a deployment passes its own secret.
+PSEUDONYM_KEY = "registered query"
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
@@ -32,6 +47,17 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language.predictions(docs, language.fit(docs))
+
+
+def op6_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, folder), PSEUDONYM_KEY).select(
+        "doc_id", "text", F.size("found").alias("n_replaced"), F.to_json("found").alias("found")
+    )
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.findings(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -44,15 +70,22 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.notices(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality,
         op2_toxicity,
         op3_simhash,
         op4_mixing,
+        op5_language,
+        op6_pseudonyms,
         op7_decontamination,
         op8_substring_dedup,
         op9_exact_dedup,
+        op10_licenses,
     )
 }
 ORACLE: dict[str, str] = {

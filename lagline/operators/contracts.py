@@ -92,7 +92,8 @@ def enforce(df: DataFrame, rules: Mapping[str, Column], allow_empty: bool = Fals
     broken = {name: n for name, n in counts.items() if n}
     if broken:
         sampled = sample_violations(df, {n: rules[n] for n in broken})
-        raise ContractError(broken, [r.asDict() for r in sampled.limit(20).collect()])
+        shown = sampled.orderBy(*(c for c, kind in sampled.dtypes if not kind.startswith("map"))).limit(20)
+        raise ContractError(broken, [r.asDict() for r in shown.collect()])
     if not rows and not allow_empty:
         raise ContractError({"no_rows": 1})
     return {"rows": rows, **counts}

@@ -51,9 +51,11 @@ def features(
     """Regression and classification tables, split by date; unknown labels are refused."""
     table = spark.read.parquet(source)
     Q.require_columns(table, S.CLEAN_SCHEMA.names)
-    unknown = Q.unexpected_statuses(table).limit(20).collect()
-    if unknown:
-        raise Q.ContractError({"unexpected_statuses": len(unknown)}, [r.asDict() for r in unknown])
+    unknown = Q.unexpected_statuses(table)
+    n = unknown.count()
+    if n:
+        shown = unknown.orderBy(*unknown.columns).limit(20).collect()
+        raise Q.ContractError({"unexpected_statuses": n}, [r.asDict() for r in shown])
     numeric = E.regression_features(table, validation_start, test_start)
     labelled = E.classification_features(table, validation_start, test_start)
     Q.enforce(numeric, Q.split_rules(S.TARGET))

@@ -8,9 +8,11 @@ through in blocks, so neither an archive nor a member is held whole.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -18,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lagline import schema as S
 from lagline.operators.contracts import ContractError, enforce, parse_rules, typed_events
+from lagline.sources.work import materialize
 
 BLOCK_ROWS = 20_000
 MEMBER = "archive string, path string, member string, bytes bigint, problem string"
+SHOWN = 20  # unfit files shown with an error; all are counted
+HASH_BLOCK = 1 << 20
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,26 +36,42 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
         .select("path", F.col("length").alias("bytes"))
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumn("archive", F.url_decode(name)).orderBy(F.lower("archive"), "archive")
+    # The path is the file's own, not an encoded one: "+" and "%" are letters of its name.
+    return files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).orderBy(F.lower("archive"), "archive")
 
 
 def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of files small enough for one row each (2 GB)."""
-    return (
+    """(file, bytes, sha256) of files of any size: each streams through its hash in blocks."""
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(folder)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
     )
+    return files.repartition("path").mapInPandas(_hash, "file string, bytes bigint, sha256 string")
+
+
+def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sums = []
+        for path in batch["path"]:
+            digest, (system, inner) = hashlib.sha256(), _locate(path)
+            with system.open_input_stream(inner) as stream:
+                while block := stream.read(HASH_BLOCK):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield batch[["file", "bytes"]].assign(sha256=sums)
+
+
+def _locate(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path; whatever a URI may not hold as it stands is quoted first."""
+    scheme, mark, rest = path.partition(":")
+    system, inner = fs.FileSystem.from_uri(scheme + mark + quote(rest, safe="/:@=+,"))
+    return system, inner
 
 
 def _open(path: str) -> zipfile.ZipFile:
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = _locate(path)
     return zipfile.ZipFile(system.open_input_file(inner))
 
 
@@ -136,18 +157,35 @@ def text_records(members: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Typed events of all archives in a folder; refuses the folder if any file is unfit."""
-    archives = list_archives(spark, folder)
-    members = inspect(archives)
-    problems = members.where("problem IS NOT NULL").select("archive", "member", "problem").limit(20).collect()
-    if problems:
-        raise ContractError({"unfit_files": len(problems)}, [r.asDict() for r in problems])
-    if members.isEmpty():
+    # Written once: the problem list, the guard and the reading below share one unpacking.
+    members = materialize(inspect(list_archives(spark, folder)), "archive-members")
+    unfit = members.where("problem IS NOT NULL")
+    found, refused = members.agg(F.count(F.lit(1)), F.count("problem")).first()
+    if refused:
+        shown = unfit.select("archive", "member", "problem").orderBy("archive", "member").limit(SHOWN).collect()
+        raise ContractError({"unfit_files": refused}, [r.asDict() for r in shown])
+    if not found:
         raise FileNotFoundError(f"no ZIP archives in {folder}")
-    text = text_records(members)
+    _distinct_names(members)
+    text = materialize(text_records(members), "archive-text")
     enforce(text, parse_rules())
     return typed_events(text)
 
 
+def _distinct_names(members: DataFrame) -> None:
+    """Provenance is the archive, the member's base name and the row: a pair must occur once."""
+    base = F.element_at(F.split("member", "/"), -1)
+    twice = (
+        members.groupBy("archive", base.alias("file"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("first"), F.max("member").alias("last"))
+        .where("n > 1")
+    )
+    n = twice.count()
+    if n:
+        shown = twice.orderBy("archive", "file").limit(SHOWN).collect()
+        raise ContractError({"repeated_file_names": n}, [r.asDict() for r in shown])
+
+
 def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Typed events of plain CSV files: header checked, over-long and short rows refused.
 
@@ -181,7 +219,7 @@ def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
 def _plain_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, member in zip(batch["path"], batch["member"]):
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = _locate(path)
             with system.open_input_stream(inner) as stream:
                 first = 2
                 for block in pd.read_csv(

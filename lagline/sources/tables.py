@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 
@@ -78,16 +79,20 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def cached_table(source: DataFrame, path: str, build) -> DataFrame:
-    """A derived table, rebuilt unless the stored fingerprint is that of the source."""
+def cached_table(source: DataFrame, path: str, build, settings: str = "") -> DataFrame:
+    """A derived table, rebuilt unless it was made from this source under these settings.
+
+    The mark is part of the path that is read, so a crash between writing the table and
+    recording it leaves a table that nobody reads.
+    """
     spark = source.sparkSession
     system, Path = _filesystem(spark, path)
     now = fingerprint(source).first()
-    mark = f"{path}.fingerprint"
-    if system.exists(Path(path)) and system.exists(Path(mark)):
-        stored = spark.read.schema(fingerprint(source).schema).json(mark).first()
-        if stored == now:
-            return spark.read.parquet(path)
-    write_checked(build(source), path)
-    spark.createDataFrame([now], fingerprint(source).schema).coalesce(1).write.mode("overwrite").json(mark)
-    return spark.read.parquet(path)
+    mark = hashlib.sha256(repr((tuple(now), settings)).encode()).hexdigest()[:32]
+    current = f"{path}/made-from-{mark}"
+    if not system.exists(Path(current)):
+        write_checked(build(source), current)
+        for other in system.listStatus(Path(path)):
+            if other.getPath().getName() != f"made-from-{mark}":
+                system.delete(other.getPath(), True)
+    return spark.read.parquet(current)

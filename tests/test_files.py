@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zipfile
 
 import pytest
@@ -170,3 +171,31 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     assert streamed.exceptAll(whole).count() == 0 and streamed.count() == whole.count()
     totals = incremental.running_counters(spark, counters).first()
     assert totals["arrival_events"] + totals["departure_events"] == 6000
+
+
+@pytest.mark.parametrize("name", ["a+b.zip", "g%h.zip", "e f.zip", "100%25 é.zip"])
+def test_archive_names_are_kept_as_they_are(spark, tmp_path, name):
+    folder = pack(tmp_path / "in put", name, {"a.csv": HEADER + "\n" + GOOD})
+    events = archives.read_archives(spark, str(folder))
+    assert {r[0] for r in events.select("source_archive").collect()} == {name}
+    sums = archives.checksums(spark, str(folder)).collect()
+    assert [(r["file"], r["bytes"], r["sha256"]) for r in sums] == [
+        (name, (folder / name).stat().st_size, hashlib.sha256((folder / name).read_bytes()).hexdigest())
+    ]
+
+
+def test_one_base_name_twice_in_an_archive_is_refused(spark, tmp_path):
+    text = HEADER + "\n" + GOOD
+    folder = pack(tmp_path / "in", "a.zip", {"x/one.csv": text, "y/one.csv": text})
+    with pytest.raises(ContractError) as error:
+        archives.read_archives(spark, str(folder))
+    assert error.value.violations == {"repeated_file_names": 1}
+
+
+def test_every_unfit_file_is_counted(spark, tmp_path):
+    for i in range(archives.SHOWN + 5):
+        pack(tmp_path / "in", f"a{i}.zip", {"a.csv": "wrong,header\n1,2\n"})
+    with pytest.raises(ContractError) as error:
+        archives.read_archives(spark, str(tmp_path / "in"))
+    assert error.value.violations == {"unfit_files": archives.SHOWN + 5}
+    assert len(error.value.samples) == archives.SHOWN

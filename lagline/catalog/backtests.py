@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lagline import schema as S
 from lagline.catalog import history_sql as H
 from lagline.catalog.prelude import over, real, whole
-from lagline.catalog.registry import feature_table, query
+from lagline.catalog.registry import feature_table, query, remembered
 from lagline.catalog.summaries import HISTOGRAM_SELECT, histogram_sql
 from lagline.functions import columns as C
 from lagline.operators import audit as A
@@ -34,19 +34,19 @@ _ALL_ROWS = "month BETWEEN DATE '2026-03-01' AND DATE '2026-06-01'"
 # ---- fallback tables and lookups ----------------------------------------------------------
 
 
-def _level(i: int, *keys: str) -> str:
+def _level(prefix: str, i: int, *keys: str) -> str:
     kinds = {"route_name": "VARCHAR", "stop_id": "VARCHAR", "day_key": "VARCHAR", "slot": "VARCHAR"}
     listed = ", ".join(f"CAST({k if k in keys else 'NULL'} AS {t}) AS {k}" for k, t in kinds.items())
-    return f"SELECT CAST({i} AS INTEGER) AS depth, {listed}, {real('m', 'median')}, {whole('n', 'n')} FROM a_l{i}"
+    return f"SELECT CAST({i} AS INTEGER) AS depth, {listed}, {real('m', 'median')}, {whole('n', 'n')} FROM {prefix}_l{i}"
 
 
-_LEVELS = " UNION ALL ".join([
-    _level(0, "route_name", "stop_id", "day_key", "slot"),
-    _level(1, "route_name", "stop_id", "slot"),
-    _level(2, "route_name", "stop_id"),
-    _level(3, "route_name"),
-    _level(4),
-])
+def _levels(prefix: str) -> list[str]:
+    keys = ["route_name", "stop_id", "day_key", "slot"]
+    by_level = [keys, ["route_name", "stop_id", "slot"], keys[:2], keys[:1], []]
+    return [_level(prefix, i, *k) for i, k in enumerate(by_level)]
+
+
+_LEVELS = " UNION ALL ".join(_levels("a"))
 
 
 def _levels_of(model, config):
@@ -69,15 +69,6 @@ def _(spark, folder):
     return _levels_of(model, ORIGINAL)
 
 
-@query(
-    "m18_final_model",
-    over("feat", _LEVELS, H.cut_list("a", SLOT, [dt.date(2026, 7, 3)]), *H.tables("a", SLOT)),
-)
-def _(spark, folder):
-    model = B.fit(feature_table(spark, folder), [(SLOT, [dt.date.fromisoformat(S.FINAL_CUTOFF)])])
-    return _levels_of(model, SLOT)
-
-
 _BASELINE = [
     H.cut_list("b", R.HOURLY, [dt.date(2026, 5, 1), dt.date(2026, 6, 1)], 0),
     *H.tables("b", R.HOURLY),
@@ -382,18 +373,6 @@ def _(spark, folder):
     return monthly_scores(spark, folder, [ORIGINAL])
 
 
-_WEEKLY_SLOT = H.backtest("w", SLOT, B.week_cutoffs(DEV), H.WEEK, _DEV_ROWS)
-
-
-@query(
-    "m13_weekly_backtest",
-    over("feat", f"SELECT 'schedule_slot' AS candidate, month, {H.metric_columns(_ERROR)} FROM w_pred GROUP BY month", *_WEEKLY_SLOT),
-    text=("month",),
-)
-def _(spark, folder):
-    return T.scored(T.weekly(feature_table(spark, folder), [SLOT], DEV))
-
-
 _SUMMARY = f"""SELECT candidate, {real('avg(mae)', 'mean_month_mae')}, {real('max(mae)', 'worst_month_mae')},
 {real('avg(within_120)', 'within_120')} FROM sc GROUP BY candidate"""
 _SCORES_TABLE = [
@@ -450,23 +429,79 @@ def _(spark, folder):
     return T.pivoted_gains(monthly_scores(spark, folder), [c.name for c in B.CANDIDATES])
 
 
+# The winner of the monthly cycle, its weekly cycle, and the winner of both, chosen in SQL.
+_FIRST = """w1 AS (SELECT candidate FROM (SELECT candidate, avg(mae) AS m FROM sc GROUP BY 1)
+  ORDER BY m, candidate LIMIT 1)"""
+_WEEKLY = [
+    part
+    for c in B.CANDIDATES
+    for part in H.backtest(f"w_{c.name}", c, B.week_cutoffs(DEV), H.WEEK, f"{_DEV_ROWS} AND '{c.name}' = (SELECT candidate FROM w1)")
+]
+_CYCLES = [
+    *_SCORES_TABLE,
+    _FIRST,
+    *_WEEKLY,
+    "cyc AS (SELECT candidate, month, mae FROM sc UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{c.name}_weekly' AS candidate, month, avg({_ERROR}) AS mae FROM w_{c.name}_pred GROUP BY month" for c in B.CANDIDATES
+    )
+    + ")",
+    """w2 AS (SELECT candidate, m FROM (SELECT candidate, avg(mae) AS m FROM cyc GROUP BY 1)
+      ORDER BY m, candidate LIMIT 1)""",
+]
+
+
+def selection(spark, folder):
+    """The search over both cycles, once per session and state of the tables."""
+    return remembered("selection", lambda s, f: T.select_cycles(feature_table(s, f)), spark, folder)
+
+
+@query(
+    "m13_weekly_backtest",
+    over(
+        "feat",
+        " UNION ALL ".join(
+            f"SELECT '{c.name}_weekly' AS candidate, month, {H.metric_columns(_ERROR)} FROM w_{c.name}_pred GROUP BY month"
+            for c in B.CANDIDATES
+        ),
+        *_CYCLES,
+    ),
+    text=("month",),
+)
+def _(spark, folder):
+    found = selection(spark, folder)
+    return found.scores.where(F.col("candidate") == found.first.name + T.WEEKLY)
+
+
 @query(
     "m14_select_over_cycles",
+    over("feat", f"SELECT candidate, {real('m', 'mean_month_mae')} FROM w2", *_CYCLES),
+)
+def _(spark, folder):
+    return T.best(T.candidate_summary(selection(spark, folder).scores))
+
+
+@query(
+    "m18_final_model",
     over(
         "feat",
-        f"""SELECT candidate, {real('m', 'mean_month_mae')} FROM (
-          SELECT candidate, avg(mae) AS m FROM (SELECT candidate, month, mae FROM sc
-            UNION ALL SELECT 'original_grouped_weekly', month, avg({_ERROR}) FROM ow_pred GROUP BY month) GROUP BY 1)
-        ORDER BY m, candidate LIMIT 1""",
-        *_SCORES_TABLE,
-        *H.backtest("ow", ORIGINAL, B.week_cutoffs(DEV), H.WEEK, _DEV_ROWS),
+        "SELECT * FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{c.name}' AS candidate, * FROM ({part})" for c in B.CANDIDATES for part in _levels(f"f_{c.name}")
+        )
+        + ") WHERE candidate = (SELECT replace(candidate, '_weekly', '') FROM w2)",
+        *_CYCLES,
+        *[
+            part
+            for c in B.CANDIDATES
+            for part in (H.cut_list(f"f_{c.name}", c, [dt.date(2026, 7, 3)]), *H.tables(f"f_{c.name}", c))
+        ],
     ),
 )
 def _(spark, folder):
-    rows = feature_table(spark, folder)
-    first = T.scored(T.monthly(rows, B.CANDIDATES, DEV))
-    second = T.scored(T.weekly(rows, [ORIGINAL], DEV)).withColumn("candidate", F.lit("original_grouped_weekly"))
-    return T.best(T.candidate_summary(first.unionByName(second)))
+    found = selection(spark, folder)
+    model = T.final_model(feature_table(spark, folder), found)
+    return _levels_of(model, found.config).withColumn("candidate", F.lit(found.config.name))
 
 
 _HISTORY = [
@@ -525,21 +560,36 @@ def _(spark, folder):
     return detail(spark, folder)
 
 
+_WON = "(SELECT candidate FROM w2)"
+
+
 @query(
     "m15_winner_detail",
     over(
         "feat",
-        f"""SELECT c.event_key, c.month, {real('c.est', 'prediction')}, {real('b.est', 'baseline_prediction')}
-        FROM dt_pred c JOIN db_pred b ON c.event_key = b.event_key""",
+        " UNION ALL ".join(
+            f"""SELECT '{label}' AS candidate, c.event_key, c.month, {real('c.est', 'prediction')},
+            {real('b.est', 'baseline_prediction')} FROM {prefix}_pred c JOIN db_pred b ON c.event_key = b.event_key"""
+            for c in B.CANDIDATES
+            for label, prefix in ((c.name, f"dm_{c.name}"), (f"{c.name}_weekly", f"dw_{c.name}"))
+        ),
+        *_CYCLES,
         *H.backtest("db", ORIGINAL, B.month_cutoffs(ALL), "month", _ALL_ROWS),
-        *H.backtest("dt", B.BY_NAME["day_type"], B.month_cutoffs(ALL), "month", _ALL_ROWS),
+        *[
+            part
+            for c in B.CANDIDATES
+            for part in (
+                *H.backtest(f"dm_{c.name}", c, B.month_cutoffs(ALL), "month", f"{_ALL_ROWS} AND '{c.name}' = {_WON}"),
+                *H.backtest(f"dw_{c.name}", c, B.week_cutoffs(ALL), H.WEEK, f"{_ALL_ROWS} AND '{c.name}_weekly' = {_WON}"),
+            )
+        ],
     ),
     text=("month",),
 )
 def _(spark, folder):
-    return T.audit_detail(feature_table(spark, folder), B.BY_NAME["day_type"]).select(
-        "event_key", "month", "prediction", "baseline_prediction"
-    )
+    found = selection(spark, folder)
+    rows = T.audit_detail(feature_table(spark, folder), found.config, refresh=found.refresh)
+    return rows.select(F.lit(found.name).alias("candidate"), "event_key", "month", "prediction", "baseline_prediction")
 
 
 @query(
@@ -790,7 +840,7 @@ _CODE_SOURCES = {"route_name": "route_name", "direction_code": "direction_code",
         + ", ".join(f"CAST(c_{c}.code AS DOUBLE) AS code_{c}" for c in _CODE_SOURCES)
         + " FROM feat f "
         + " ".join(f"LEFT JOIN c_{c} ON coalesce(f.{c}, '<MISSING>') = c_{c}.value" for c in _CODE_SOURCES)
-        + " WHERE f.data_split = 'test'",
+        + "",
         *[
             f"c_{c} AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM "
             f"(SELECT DISTINCT coalesce({c}, '<MISSING>') AS value FROM feat WHERE data_split = 'train'))"
@@ -801,7 +851,7 @@ _CODE_SOURCES = {"route_name": "route_name", "direction_code": "direction_code",
 def _(spark, folder):
     rows = feature_table(spark, folder)
     tables = ordinal_codes(rows.where(F.col("data_split") == "train"), list(_CODE_SOURCES))
-    coded = encode_ordinal(rows.where(F.col("data_split") == "test"), tables)
+    coded = encode_ordinal(rows, tables)
     return coded.select("event_key", *[f"code_{c}" for c in _CODE_SOURCES])
 
 

@@ -55,14 +55,28 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return E.with_day_keys(E.regression_features(clean(spark, folder)))
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple, object] = {}
 
 
-def _stored(name: str, build, spark: SparkSession, folder: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _tables:
-        _tables[key] = materialize(build(spark, folder), name)
-    return _tables[key]
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Files of the source table with sizes and times: what is kept is valid for this state only."""
+    files = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    )
+    mark = files.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+    return tuple(mark)
+
+
+def remembered(name: str, build, spark: SparkSession, folder: str):
+    """``build(spark, folder)``, once per session and state of the source table."""
+    key = (spark.sparkContext.applicationId, folder, name, _state(spark, folder))
+    if key not in _made:
+        _made[key] = build(spark, folder)
+    return _made[key]
+
+
+def _stored(name: str, build, spark: SparkSession, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    return remembered(name, lambda s, f: materialize(build(s, f), name, partition_by), spark, folder)
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,7 +12,9 @@ from lagline import schema as S
 from lagline.functions import columns as C
 from lagline.operators import fallback as B
 from lagline.operators.metrics import score
+from lagline.sources.work import materialize
 
+WEEKLY = "_weekly"  # marks the weekly cycle of a candidate
 CROSS_FIT = ["original_grouped", "schedule_slot", "day_type"]
 
 
@@ -102,6 +106,39 @@ def best(summary: DataFrame, name: str = "candidate", metric: str = "mean_month_
     )
 
 
+@dataclass(frozen=True)
+class Selection:
+    """What won over both refresh cycles, and every score it was chosen from."""
+
+    scores: DataFrame
+    first: B.Config  # winner of the monthly cycle, the one that was also refreshed weekly
+    config: B.Config
+    refresh: str
+
+    @property
+    def name(self) -> str:
+        return self.config.name + WEEKLY * (self.refresh == "week")
+
+
+def select_cycles(
+    features: DataFrame, configs: Sequence[B.Config] = tuple(B.CANDIDATES), months: Sequence[str] = tuple(S.DEVELOPMENT_MONTHS)
+) -> Selection:
+    """Grid, then the weekly cycle of the grid's winner, then the best of both cycles."""
+    named = {c.name: c for c in configs}
+    first = materialize(scored(monthly(features, configs, months)), "monthly-scores")
+    leader = named[best(candidate_summary(first)).first()["candidate"]]
+    second = scored(weekly(features, [leader], months)).withColumn("candidate", F.lit(leader.name + WEEKLY))
+    scores = first.unionByName(materialize(second, "weekly-scores"))
+    winner = best(candidate_summary(scores)).first()["candidate"]
+    refresh = "week" if winner == leader.name + WEEKLY else "month"
+    return Selection(scores, leader, leader if refresh == "week" else named[winner], refresh)
+
+
+def final_model(features: DataFrame, selection: Selection, cutoff: str = S.FINAL_CUTOFF) -> DataFrame:
+    """Level tables of the selected candidate on all history before the last cutoff's embargo."""
+    return B.fit(features, [(selection.config, [dt.date.fromisoformat(cutoff)])])
+
+
 def cross_fitted_history(features: DataFrame, months: Sequence[str] = S.CROSS_FIT_MONTHS) -> DataFrame:
     """Each event with three estimates made only from history before its own week."""
     configs = [B.BY_NAME[n] for n in CROSS_FIT]

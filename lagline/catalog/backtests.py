@@ -658,12 +658,12 @@ _ROUTES = "routes AS (SELECT month, route_name, count(*) AS rows, avg(error) AS
 _SCREEN = """screened AS (SELECT route_name, count(*) AS months, min(rows) AS fewest_rows, max(mae) AS worst_mae,
  min(within120) AS worst_within120 FROM routes WHERE month < DATE '2026-06-01' GROUP BY route_name
  HAVING count(*) = 3 AND min(rows) >= 300 AND max(mae) <= 160 AND min(within120) >= 0.40)"""
-_LIMITS = {"rows": 300, "mae": 160.0, "within120": 0.40}
+SCREEN = {"rows": 300, "mae": 160.0, "within120": 0.40}
 
 
 def _screened(spark, folder):
     rows = detail(spark, folder)
-    return rows, A.reliable_routes(M.error_table(rows, "month", "route_name"), **_LIMITS)
+    return rows, A.reliable_routes(M.error_table(rows, "month", "route_name"), **SCREEN)
 
 
 @query(

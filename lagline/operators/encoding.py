@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lagline import schema as S
 from lagline.functions.columns import filled
+from lagline.sources.work import materialize
 
 RARE_BELOW = 20
 INFREQUENT = "<INFREQUENT>"
@@ -35,28 +36,31 @@ def numeric_moments(training: DataFrame, columns: Sequence[str] = tuple(S.NUMERI
 class Encoder:
     """One-hot categories with a rare bucket, unknown ones all zero; numbers standardised.
 
-    The vocabulary and the moments are as wide as the model's coefficient vector, which a
-    linear or tree model keeps on the driver in any case.
+    Known labels and moments are as wide as the model's coefficient vector, which a linear or
+    tree model keeps on the driver in any case. Rare categories are a table (field, value) that
+    meets the rows in a join, however many there are; ``has_rare`` names the fields with any.
     """
 
     known: dict[str, list[str]]
-    rare: dict[str, list[str]]
+    rare: DataFrame
+    has_rare: set[str]
     moments: dict[str, tuple[float, float]]
 
     @classmethod
     def fit(cls, training: DataFrame, rare_below: int = RARE_BELOW) -> Encoder:
-        counts = category_counts(training)
+        counts = materialize(category_counts(training), "categories")
         known = {c: [] for c in S.CATEGORICAL}
-        rare = {c: [] for c in S.CATEGORICAL}
-        for row in counts.orderBy("field", "value").collect():
-            (known if row["n"] >= rare_below else rare)[row["field"]].append(row["value"])
+        for row in counts.where(F.col("n") >= rare_below).orderBy("field", "value").collect():
+            known[row["field"]].append(row["value"])
+        rare = counts.where(F.col("n") < rare_below).select("field", "value")
+        has_rare = {r["field"] for r in rare.select("field").distinct().collect()}
         moments = {
             r["field"]: (r["mean"], r["spread"] or 1.0) for r in numeric_moments(training).collect()
         }
-        return cls(known, rare, moments)
+        return cls(known, rare, has_rare, moments)
 
     def labels(self, column: str) -> list[str]:
-        return self.known[column] + ([INFREQUENT] if self.rare[column] else [])
+        return self.known[column] + ([INFREQUENT] if column in self.has_rare else [])
 
     def field_of_position(self) -> list[str]:
         fields = [c for c in S.CATEGORICAL for _ in self.labels(c)]
@@ -64,12 +68,13 @@ class Encoder:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Append the ``features`` vector."""
-        prepared = rows.withColumns({
-            f"__{c}": F.when(filled(F.col(c)).isin(self.rare[c]), INFREQUENT).otherwise(filled(F.col(c)))
-            if self.rare[c]
-            else filled(F.col(c))
-            for c in S.CATEGORICAL
-        }).withColumns({
+        prepared = rows.withColumns({f"__{c}": filled(F.col(c)) for c in S.CATEGORICAL})
+        for c in sorted(self.has_rare):
+            infrequent = self.rare.where(F.col("field") == c).select(F.col("value").alias(f"__rare_{c}"))
+            prepared = prepared.join(infrequent, F.col(f"__{c}") == F.col(f"__rare_{c}"), "left").withColumn(
+                f"__{c}", F.when(F.col(f"__rare_{c}").isNotNull(), INFREQUENT).otherwise(F.col(f"__{c}"))
+            )
+        prepared = prepared.withColumns({
             f"__{c}": (F.col(c).cast("double") - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1])
             for c in S.NUMERICAL
         })
@@ -93,14 +98,24 @@ class Encoder:
 
 
 def ordinal_codes(training: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """Per column a (value, code) table: sorted distinct training values, from 0."""
+    """Per column a (value, code) table: sorted distinct training values, from 0.
+
+    Values are sorted by ranges; a code is the place within the range plus the sizes of the
+    ranges before it, so no task sees all values.
+    """
     tables = {}
     for c in columns:
         values = training.select(filled(F.col(c)).alias("value")).distinct()
-        # one row per category
-        tables[c] = values.withColumn(
-            "code", (F.row_number().over(Window.orderBy("value")) - 1).cast("double")
+        ranged = values.repartitionByRange("value").sortWithinPartitions("value")
+        place = F.monotonically_increasing_id()  # range number in the upper bits, place in the lower 33
+        ranged = materialize(ranged.select("value", place.alias("id")), f"ordinal-{c}")
+        ranged = ranged.select(
+            "value", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")
         )
+        sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        tables[c] = ranged.join(starts, "range").select("value", (F.col("start") + F.col("at")).cast("double").alias("code"))
     return tables
 
 

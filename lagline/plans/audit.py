@@ -74,6 +74,44 @@ def final_detail(detail: DataFrame, scorer=M.score) -> DataFrame:
     return T.errors(blended)
 
 
+def corrected_detail(features: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Detail of corrected estimates (event_key, prediction, ...) beside the monthly baseline."""
+    months = (*S.DEVELOPMENT_MONTHS, S.AUDIT_MONTH)
+    base = T.monthly(features, [B.BY_NAME["original_grouped"]], months).select(
+        "event_key", F.col("estimate").alias("baseline_prediction")
+    )
+    rows = T.period(features, months).join(corrected.select("event_key", "prediction"), "event_key").join(base, "event_key")
+    return T.errors(rows).select(*T.DETAIL)
+
+
+def scores_with_control(final: DataFrame, control: DataFrame, scorer=M.score) -> DataFrame:
+    """Scores of the blend per month with its weight, the baseline, the weekly control and the gain."""
+    extra = final.groupBy("month").agg(
+        F.max("boost_weight").alias("boost_weight"), F.avg("baseline_error").alias("baseline_mae")
+    )
+    return (
+        scorer(final, ["month"])
+        .join(extra, "month")
+        .join(control.select("month", "weekly_baseline_mae"), "month")
+        .withColumn("gain_percent", (1 - F.col("mae") / F.col("baseline_mae")) * 100)
+    )
+
+
+def final_error_tables(final: DataFrame) -> DataFrame:
+    """Route errors per month, and hour and weekday errors of the development months, stacked."""
+    past = development(final)
+    parts = [
+        ("route", M.error_table(final, "month", "route_name"), F.concat_ws(" ", "month", "route_name")),
+        ("hour", M.error_table(past, "hour"), F.col("hour").cast("string")),
+        ("weekday", M.error_table(past, "weekday"), F.col("weekday").cast("string")),
+    ]
+    stacked = None
+    for name, table, key in parts:
+        part = table.select(F.lit(name).alias("grouped_by"), key.alias("value"), "rows", "mae", "baseline_mae", "within120")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked
+
+
 def final_scores(features: DataFrame, candidate: B.Config, months: Sequence[str], scorer=M.score) -> DataFrame:
     """Scores of the blend with the monthly baseline, the weekly control and the gain."""
     from lagline.sources.work import materialize

@@ -149,6 +149,24 @@ def cross_fitted_history(features: DataFrame, months: Sequence[str] = S.CROSS_FI
     ).drop(*[f"{p}_{n}" for n in CROSS_FIT for p in ("support", "depth")])
 
 
+# Columns of an audit's detail.
+DETAIL = [
+    "event_key",
+    "month",
+    "service_date",
+    "route_name",
+    "weekday",
+    "scheduled_minute_of_service_day",
+    "hour",
+    S.TARGET,
+    "prediction",
+    "baseline_prediction",
+    "error",
+    "baseline_error",
+    "within120",
+]
+
+
 def audit_detail(
     features: DataFrame,
     candidate: B.Config,
@@ -171,21 +189,7 @@ def audit_detail(
     both = B.predict_wide(monthly_rows, model, [candidate], cutoff).withColumnRenamed(
         f"est_{candidate.name}", "prediction"
     )
-    return errors(both).select(
-        "event_key",
-        "month",
-        "service_date",
-        "route_name",
-        "weekday",
-        "scheduled_minute_of_service_day",
-        "hour",
-        S.TARGET,
-        "prediction",
-        "baseline_prediction",
-        "error",
-        "baseline_error",
-        "within120",
-    )
+    return errors(both).select(*DETAIL)
 
 
 def errors(detail: DataFrame) -> DataFrame:

@@ -31,7 +31,6 @@ ITERATIONS = 140
 STEP = 0.08
 LEAF = 100
 SEED = 42
-SAMPLE = 500_000
 COMPLEXITIES = {15: 4, 31: 5}  # leaves asked for -> tree depth that offers them
 
 
@@ -69,11 +68,13 @@ def _assembler() -> VectorAssembler:
     )
 
 
-def fit_correction(history: DataFrame, leaves: int, sample: int = SAMPLE, iterations: int = ITERATIONS) -> Correction:
-    """Learn target minus exact-minute median on a bounded seeded sample.
+def fit_correction(
+    history: DataFrame, leaves: int, sample: int | None = None, iterations: int = ITERATIONS
+) -> Correction:
+    """Learn target minus exact-minute median, from all rows or a seeded sample of ``sample`` rows.
 
-    Codes come from the whole history, the trees from the sample. Unknown categories get one
-    extra code, which no training row carries.
+    Codes come from the whole history in any case. Unknown categories get one extra code, which
+    no training row carries. The prepared vectors are written once: every round reads them.
     """
     use_checkpoints(history.sparkSession)
     indexer = StringIndexer(
@@ -85,9 +86,12 @@ def fit_correction(history: DataFrame, leaves: int, sample: int = SAMPLE, iterat
     prepared = history.withColumns({f"__{c}": C.filled(F.col(c)) for c in BOOST_CATEGORY})
     codes = indexer.fit(prepared)
     widest = max(len(labels) + 1 for labels in codes.labelsArray)
-    coded = codes.transform(sample_rows(prepared, "event_key", sample, SEED))
-    training = _assembler().transform(coded).select(
-        "features", (F.col(S.TARGET) - F.col("est_schedule_slot")).alias("residual")
+    coded = codes.transform(sample_rows(prepared, "event_key", sample, SEED) if sample else prepared)
+    training = materialize(
+        _assembler().transform(coded).select(
+            "features", (F.col(S.TARGET) - F.col("est_schedule_slot")).alias("residual")
+        ),
+        "boost-vectors",
     )
     booster = GBTRegressor(
         featuresCol="features",
@@ -105,6 +109,14 @@ def fit_correction(history: DataFrame, leaves: int, sample: int = SAMPLE, iterat
     return Correction(codes, booster.fit(training))
 
 
+def fit_before(
+    history: DataFrame, month: str, leaves: int, embargo: int = S.EMBARGO_DAYS, **settings
+) -> Correction:
+    """The correction a month may use: fitted on history that ends before the month's embargo."""
+    end = F.date_sub(F.to_date(F.lit(month)), embargo)
+    return fit_correction(history.where(F.col("service_date") < end), leaves, **settings)
+
+
 def backtest(
     history: DataFrame,
     leaves: int,
@@ -115,8 +127,7 @@ def backtest(
     """Corrected estimates per month, each fitted on history that ends before its embargo."""
     parts = []
     for month in months:
-        end = F.date_sub(F.to_date(F.lit(month)), embargo)
-        correction = fit_correction(history.where(F.col("service_date") < end), leaves, **settings)
+        correction = fit_before(history, month, leaves, embargo, **settings)
         rows = history.where(C.in_months(F.col("service_date"), month))
         parts.append(correction.apply(rows).withColumn("candidate", F.lit(f"residual_boost_{leaves}")))
     result = parts[0]

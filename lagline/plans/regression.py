@@ -18,7 +18,7 @@ GLOBAL_MEDIAN = "Global median baseline"
 GROUPED_MEDIAN = "Historical grouped median"
 MODELS = {"ridge": "Ridge regression", "random_forest": "Random Forest"}
 RIDGE_ALPHA = 10.0
-FOREST = {"trees": 60, "depth": 18, "leaf": 25, "rows_per_tree": 400_000, "seed": 42}
+FOREST = {"trees": 60, "depth": 18, "leaf": 25, "seed": 42}
 HOURLY = B.Config("hourly", minutes=60, minimum=30)
 PHASES = {"validation": S.VALIDATION_START, "test": S.TEST_START}
 
@@ -82,15 +82,27 @@ def comparison(features: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-def estimator(name: str, rows: int, target_spread: float):
-    """One fixed, untuned model over the encoded vector."""
+def full_comparison(
+    features: DataFrame, baselines: DataFrame, validation: DataFrame, test: DataFrame, chosen: str
+) -> DataFrame:
+    """Baselines and models on validation and test, the chosen one marked, with their periods."""
+    rows = baselines.unionByName(validation.withColumn("phase", F.lit("validation"))).unionByName(
+        test.withColumn("phase", F.lit("test"))
+    )
+    return comparison(features, rows).withColumn("selected_for_test", F.col("model") == MODELS[chosen])
+
+
+def estimator(name: str, rows: int, target_spread: float, rows_per_tree: int | None = None):
+    """One fixed, untuned model over the encoded vector; a forest's trees may see fewer rows."""
     if name == "ridge":
         # Spark divides the squared loss by the rows and scales the target by its spread;
         # undoing both gives the penalty alpha on raw coefficients.
         return LinearRegression(
             featuresCol="features",
             labelCol=S.TARGET,
-            solver="normal",
+            solver="l-bfgs",  # any number of encoded columns
+            maxIter=1000,
+            tol=1e-12,
             elasticNetParam=0.0,
             standardization=False,
             regParam=RIDGE_ALPHA / rows * target_spread,
@@ -103,7 +115,7 @@ def estimator(name: str, rows: int, target_spread: float):
             maxDepth=FOREST["depth"],
             minInstancesPerNode=FOREST["leaf"],
             featureSubsetStrategy="sqrt",
-            subsamplingRate=min(1.0, FOREST["rows_per_tree"] / rows),
+            subsamplingRate=min(1.0, rows_per_tree / rows) if rows_per_tree else 1.0,
             seed=FOREST["seed"],
             maxMemoryInMB=1024,
         )
@@ -114,7 +126,7 @@ def fit_model(name: str, training: DataFrame) -> tuple[N.Encoder, PipelineModel]
     """Encoder and model, both fitted on the training rows only."""
     encoder = N.Encoder.fit(training)
     encoded = encoder.transform(training).select("features", F.col(S.TARGET).cast("double").alias(S.TARGET))
-    rows, spread = training.agg(F.count(F.lit(1)), F.stddev_pop(S.TARGET)).first()
+    rows, spread = training.agg(F.count(F.lit(1)), F.stddev_samp(S.TARGET)).first()
     return encoder, Pipeline(stages=[estimator(name, rows, spread)]).fit(encoded)
 
 

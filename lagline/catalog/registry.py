@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lagline.functions import columns as C
 from lagline.operators import events as E
+from lagline.operators import fallback as B
 from lagline.sources.lineitem import raw_events
 from lagline.sources.work import materialize
 
@@ -80,12 +82,16 @@ def _stored(name: str, build, spark: SparkSession, folder: str, partition_by: tu
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The regression features as a written table, built once per session and folder.
+    """The regression features as a written table by month, built once per session and state.
 
     Backtests, audits and models start from the stored feature table, as they do in
-    production; only its first user pays for building it.
+    production; only its first user pays for building it. ``service_month`` is the partition.
     """
-    return _stored("features", features, spark, folder)
+
+    def build(s, f):
+        return features(s, f).withColumn(B.MONTH_PARTITION, C.month_start(F.col("service_date")))
+
+    return _stored("features", build, spark, folder, (B.MONTH_PARTITION,))
 
 
 def event_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,6 +80,9 @@ CANDIDATES = [
 BY_NAME = {c.name: c for c in CANDIDATES}
 
 
+MONTH_PARTITION = "service_month"  # partition column of a stored feature table
+
+
 def month_cutoffs(months: Iterable[str]) -> list[dt.date]:
     return [dt.date.fromisoformat(m) for m in months]
 
@@ -150,6 +153,10 @@ def fit(
     history = events.where(F.col("service_date") < F.lit(edges[-1]))
     if lower:
         history = history.where(F.col("service_date") >= F.lit(lower))
+    if MONTH_PARTITION in events.columns:  # lets the scan leave out whole months
+        history = history.where(F.col(MONTH_PARTITION) <= F.lit(edges[-1]))
+        if lower:
+            history = history.where(F.col(MONTH_PARTITION) >= F.lit(lower.replace(day=1)))
     # Step k holds the days from edges[k-1] up to edges[k]; step 0 everything earlier.
     reach = {
         w: [

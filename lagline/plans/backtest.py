@@ -22,7 +22,10 @@ def period(features: DataFrame, months: Sequence[str]) -> DataFrame:
     wanted = F.lit(False)
     for month in months:
         wanted = wanted | C.in_months(F.col("service_date"), month)
-    return features.where(wanted).withColumn("month", C.month_start(F.col("service_date")))
+    rows = features.where(wanted)
+    if B.MONTH_PARTITION in features.columns:  # a filter the scan can turn into a choice of folders
+        rows = rows.where(F.col(B.MONTH_PARTITION).isin(sorted({dt.date.fromisoformat(m).replace(day=1) for m in months})))
+    return rows.withColumn("month", C.month_start(F.col("service_date"))).drop(B.MONTH_PARTITION)
 
 
 def monthly(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
@@ -184,7 +187,7 @@ def audit_detail(
     rows = period(features, months)
     monthly_rows = B.predict_wide(rows, model, [base], F.col("month")).withColumnRenamed(
         f"est_{base.name}", "baseline_prediction"
-    ).select(*features.columns, "month", "baseline_prediction")
+    ).select(*rows.columns, "baseline_prediction")
     cutoff = C.week_start(F.col("service_date")) if refresh == "week" else F.col("month")
     both = B.predict_wide(monthly_rows, model, [candidate], cutoff).withColumnRenamed(
         f"est_{candidate.name}", "prediction"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,17 +43,32 @@ _local_folders: dict[str, str] = {}
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, made known to the context.
+    """The shared folder for intermediate tables, made known to the context.
 
-    Only a local session may fall back to a folder of this machine; on a cluster the
+    It is the one the session or the context names. Only where neither does, a session on this
+    machine alone gets a temporary folder, deleted when the process ends; on a cluster the
     setting has to be there, because a lost executor takes its local disk with it.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _local_folders.get(context.applicationId)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        folder = _local_folders.get(context.applicationId)
+    if not folder:
+        if not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         folder = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lagline-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{use_checkpoints(spark)}/lagline-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; for the end of a job."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

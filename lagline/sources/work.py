@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from lagline.session import use_checkpoints
+from lagline.session import run_folder
 
 
 def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -17,7 +17,7 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     tasks, and the planner sees real sizes when it decides about broadcasts.
     """
     spark = df.sparkSession
-    path = f"{use_checkpoints(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(schema).parquet(path)

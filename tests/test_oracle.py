@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
 from conftest import SMALL
+from lagline import catalog
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-# Backtests rebuild their history per query; a few stand for all unless asked otherwise.
-SAMPLED = {"a20_grouped_medians", "j1_fallback_lookup", "m12_monthly_backtest", "m19_cross_fitted_history", "m27_final_scores"}
-HEAVY = {n for n in ORACLE if "_pred AS (" in ORACLE[n] or "_l4 AS (" in ORACLE[n]}
-RUN = sorted(ORACLE) if os.environ.get("LAGLINE_ALL_CHECKS") else sorted((set(ORACLE) - HEAVY) | SAMPLED)
+# The document queries have their own tests.
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +26,6 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", RUN)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SMALL).toPandas(), con.execute(ORACLE[name]).df()) == "ok"

@@ -49,7 +49,7 @@ def _levels(prefix: str) -> list[str]:
 _LEVELS = " UNION ALL ".join(_levels("a"))
 
 
-def _levels_of(model, config):
+def levels_of(model, config):
     return model.where((F.col("n") >= config.minimum) | (F.col("depth") == B.GLOBAL_DEPTH)).select(
         "depth", "route_name", "stop_id", F.col("day_key").cast("string"), F.col("slot").cast("string"), "median", "n"
     )
@@ -66,7 +66,7 @@ def _levels_of(model, config):
 )
 def _(spark, folder):
     model = B.fit(feature_table(spark, folder), [(ORIGINAL, B.month_cutoffs(["2026-05-01"]))])
-    return _levels_of(model, ORIGINAL)
+    return levels_of(model, ORIGINAL)
 
 
 _BASELINE = [
@@ -501,7 +501,7 @@ def _(spark, folder):
 def _(spark, folder):
     found = selection(spark, folder)
     model = T.final_model(feature_table(spark, folder), found)
-    return _levels_of(model, found.config).withColumn("candidate", F.lit(found.config.name))
+    return levels_of(model, found.config).withColumn("candidate", F.lit(found.config.name))
 
 
 _HISTORY = [

@@ -23,7 +23,7 @@ import datetime as dt
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lagline import schema as S
 from lagline.sources.work import materialize
@@ -80,6 +80,7 @@ CANDIDATES = [
 BY_NAME = {c.name: c for c in CANDIDATES}
 
 
+SETTINGS = "name string, minutes int, minimum int, days int, day string"
 MONTH_PARTITION = "service_month"  # partition column of a stored feature table
 
 
@@ -387,3 +388,16 @@ def depth_usage(predicted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .withColumn("percent", 100.0 * F.col("records") / F.col("total"))
         .drop("total")
     )
+
+
+def save(model: DataFrame, configs: Sequence[Config], path: str) -> None:
+    """Level tables and, beside them, the settings of the configurations they serve."""
+    spark = model.sparkSession
+    model.write.mode("overwrite").parquet(f"{path}/levels")
+    rows = [(c.name, c.minutes, c.minimum, c.days, c.day) for c in configs]
+    spark.createDataFrame(rows, SETTINGS).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, list[Config]]:
+    rows = spark.read.schema(SETTINGS).json(f"{path}/settings").orderBy("name").collect()
+    return spark.read.parquet(f"{path}/levels"), [Config(**r.asDict()) for r in rows]

@@ -35,8 +35,9 @@ def write_checked(
     try:
         df.write.partitionBy(*partition_by).option("compression", "snappy").parquet(staged)
         back = spark.read.schema(df.schema).parquet(staged)
-        found = [(f.name, f.dataType) for f in spark.read.parquet(staged).schema]
-        wanted = [(f.name, f.dataType) for f in df.schema]
+        # Partition columns live in folder names, which have no type of their own.
+        typed = lambda schema: [(f.name, None if f.name in partition_by else f.dataType) for f in schema]
+        found, wanted = typed(spark.read.parquet(staged).schema), typed(df.schema)
         if sorted(map(str, found)) != sorted(map(str, wanted)):
             raise ContractError({"written_columns": 1}, [{"expected": wanted, "found": found}])
         rows = back.count()

@@ -10,13 +10,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, longest: int):
-    """Per label value at most ``rows`` documents outside the held-out fold, and how many there are.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, longest: int):
+    """(label, doc_id, text) of at most ``rows`` documents per label value, and rows per label value.
 
-    Rows are chosen by a hash of the id, so the choice is the same at every run; only the chosen
-    ids meet the documents. Texts over ``longest`` characters don't teach. A document with
-    several labels takes the largest; null labels and null ids are left out.
-    Returns ({label value: [text, ...]}, {label value: rows outside the fold}).
+    Only rows outside the held-out fold are taken. They are chosen by a hash of the id, so the
+    choice is the same at every run, and only the chosen ids meet the documents. Texts over
+    ``longest`` characters don't teach. A document with several labels takes the largest; null
+    labels and null ids are left out. Without labels there is no table.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label"))
@@ -30,16 +30,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     for value in sorted(counts):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = part if ids is None else ids.union(part)
-    texts: dict[str, list[str]] = {value: [] for value in counts}
     if ids is None:
-        return texts, counts
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
+        return None, counts
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         F.col("text").isNotNull() & (F.length("text") <= longest)
     )
     # At most rows x label values ids: a proven size.
-    found = chosen.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("label", "text")
-    for row in found.toLocalIterator():
-        texts[row["label"]].append(row["text"])
+    return texts.join(F.broadcast(ids), "doc_id").select("label", "doc_id", "text"), counts
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, longest: int):
+    """The chosen texts on the driver, at most ``rows`` x ``longest`` characters per label value.
+
+    Returns ({label value: [text, ...]}, {label value: rows outside the fold}).
+    """
+    found, counts = chosen(docs, labels, label, folds, fold, rows, longest)
+    texts: dict[str, list[str]] = {value: [] for value in counts}
+    if found is not None:
+        for row in found.orderBy("doc_id", "text").toLocalIterator():
+            texts[row["label"]].append(row["text"])
     return texts, counts
 
 

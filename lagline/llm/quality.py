@@ -129,12 +129,23 @@ class Discriminant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Discriminant:
-    texts, counts = labelled.sample(docs, labels, "quality", FOLDS, FOLD, rows, LONGEST)
-    low, high = texts.get("0", []), texts.get("1", [])
+    """The statistics are taken where the texts are; twenty numbers per sampled text come back."""
+    found, counts = labelled.chosen(docs, labels, "quality", FOLDS, FOLD, rows, LONGEST)
     model = Discriminant()
-    if len(low) > 1 and len(high) > 1:
-        x = np.array([statistics(t.encode()) for t in low + high])
-        y = np.r_[np.zeros(len(low), int), np.ones(len(high), int)]
+    if found is None:
+        return model
+
+    def run(batches):
+        for batch in batches:
+            x = [statistics(t.as_py()).tolist() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["label", "doc_id", "x"])
+
+    ready = found.select("label", "doc_id", F.col("text").cast("binary").alias("text"))
+    kept = ready.mapInArrow(run, "label string, doc_id long, x array<double>").orderBy("doc_id", "x").collect()
+    kept = [r for r in kept if r["label"] in ("0", "1")]
+    y = np.array([int(r["label"]) for r in kept])
+    if (y == 0).sum() > 1 and (y == 1).sum() > 1:
+        x = np.array([r["x"] for r in kept])
         order = np.random.default_rng(1).permutation(len(y))
         model.fit(x[order], y[order], counts["1"] / (counts["0"] + counts["1"]))
     return model

@@ -100,9 +100,9 @@ def estimator(name: str, rows: int, target_spread: float, rows_per_tree: int | N
         return LinearRegression(
             featuresCol="features",
             labelCol=S.TARGET,
-            solver="l-bfgs",  # any number of encoded columns
+            solver="auto",  # the normal equations up to 4,096 columns, l-bfgs on the same objective beyond
             maxIter=1000,
-            tol=1e-12,
+            tol=1e-10,
             elasticNetParam=0.0,
             standardization=False,
             regParam=RIDGE_ALPHA / rows * target_spread,
@@ -126,7 +126,7 @@ def fit_model(name: str, training: DataFrame) -> tuple[N.Encoder, PipelineModel]
     """Encoder and model, both fitted on the training rows only."""
     encoder = N.Encoder.fit(training)
     encoded = encoder.transform(training).select("features", F.col(S.TARGET).cast("double").alias(S.TARGET))
-    rows, spread = training.agg(F.count(F.lit(1)), F.stddev_samp(S.TARGET)).first()
+    rows, spread = training.agg(F.count(F.lit(1)), F.stddev_pop(S.TARGET)).first()
     return encoder, Pipeline(stages=[estimator(name, rows, spread)]).fit(encoded)
 
 

@@ -37,11 +37,20 @@ FORMATS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<day>[/.])[0-9]{1,2}\k<day>[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "card": (
+        r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{1,7}"
+        r"|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9])"
+    ),
+    # No form can take in a number that follows it: groups are counted.
+    "phone": (
+        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}"
+        r"|\+[0-9]{1,3}(?<pairs>[ .-])[0-9](?:\k<pairs>[0-9]{2}){4}"
+        r"|\+[0-9]{1,3}(?<groups>[ .-]?)[0-9]{2,4}(?:\k<groups>[0-9]{2,4}){1,2}"
+        r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+    ),
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 
@@ -298,9 +307,8 @@ MAKERS = {
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, found): texts with pseudonyms, and (kind, pseudonym) of each replaced value."""
-    # Alone, a format's groups count from one; its look-arounds have been checked in the text.
+    # Alone, a format needs no context: its look-arounds have been checked in the text.
     whole = {k: f"^(?:{p})$" for k, p in FORMATS.items()}
-    whole["card"] = whole["card"].replace(r"\2", r"\1").replace(r"\3", r"\2")
 
     def replaced(value):
         choice = F.lit(None).cast("struct<kind:string,pseudonym:string>")

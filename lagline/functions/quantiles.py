@@ -46,8 +46,8 @@ def bucket_quantiles(
     )
     counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     by_bucket = Window.partitionBy(*keys).orderBy("__b")
-    # The running sum reaches the group total on its last bucket; no second pass is needed.
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
+    # Totals add up the bucket counts, whose shuffle is used again: the rows are not read for them.
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     ranked = counts.withColumn("__upto", F.sum("__n").over(by_bucket)).join(totals, keys) if keys else (
         counts.withColumn("__upto", F.sum("__n").over(by_bucket)).withColumn(
             "__total", totals.select("__total").scalar()

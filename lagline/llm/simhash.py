@@ -67,6 +67,20 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return narrow(docs).mapInArrow(run, "doc_id long, bits long")
 
 
+def _keyed_fingerprints(rows: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(doc_id, text_key, bits) of rows (doc_id, text, text_key)."""
+
+    def run(batches):
+        for batch in batches:
+            bits = np.fromiter(
+                (fingerprint(t.as_py(), words_per_shingle) for t in batch.column(1)), np.uint64, batch.num_rows
+            )
+            columns = [batch.column(0), batch.column(2), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "bits"])
+
+    return rows.mapInArrow(run, "doc_id long, text_key string, bits long")
+
+
 def _link_runs(key: np.ndarray, bits: np.ndarray, must: np.ndarray):
     """Spanning links of complete runs of equal keys: arrays of left and right fingerprints."""
     left, right = [], []
@@ -214,13 +228,36 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, limit: int = BU
     )
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component.
+
+    ``found`` has (doc_id, text_key, component) for every row, ``text_key`` being the MD5 of the
+    text's bytes. The smallest doc_id stays, a null one only where there is no other; among rows
+    that share it the smallest text_key, and of rows equal in both any one.
+    """
+    found = materialize(found, "near-rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    marks = found.join(best, "component").select(
+        F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), stays.alias("mark_stays")
+    )
+    marks = materialize(marks.distinct(), "near-marks")
+    key = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("mark_id")) & (key == F.col("mark_key"))
+    single = docs.join(marks, same, "left_anti")
+    chosen = docs.join(marks.where("mark_stays"), same).dropDuplicates(["mark_id", "mark_key"])
+    return single.unionByName(chosen.drop("mark_id", "mark_key", "mark_stays"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id.
+    """One row of each group of near-duplicates, the one with the smallest doc_id (null last).
 
-    Documents without a doc_id stay unless they share a group with one that has it. Rows that
-    repeat a doc_id are not told apart from each other.
+    Rows are told apart by doc_id and text, so null and repeated ids need no rule of their own.
     """
-    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    keyed = narrow(docs).withColumn("text_key", F.md5("text"))
+    rows = materialize(_keyed_fingerprints(keyed, 3), "fingerprints")
+    classes = materialize(rows.select("bits").distinct(), "fingerprint-classes")
+    groups = components(links(classes))
+    found = rows.join(groups, F.col("bits") == F.col("node"), "left")
+    return one_of_each(docs, found.select("doc_id", "text_key", F.coalesce("component", "bits").alias("component")))

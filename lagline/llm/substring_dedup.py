@@ -19,8 +19,6 @@ than a window lose nothing. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,17 +31,18 @@ from lagline.sources.work import materialize
 WINDOW = 20
 HOT = 4096
 VOCABULARY = 1 << 19  # words a task remembers the hash of
-NOTHING = hashlib.sha256(b"").hexdigest()
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, 64, dtype=np.uint64) * 2 + 1
 
-PROFILE = "doc_id long, n_words long, k1 long, k2 long, whole_sha256 string, halves array<long>"
+PROFILE = "doc_id long, n_words long, k1 long, k2 long, halves array<long>"
 FULL = "half long, doc_id long, windows array<long>"
-KEPT = "doc_id long, k1 long, k2 long, n_removed long, kept_sha256 string"
+WORDS = "doc_id long, k1 long, k2 long, text binary"
+LEFT = "doc_id long, n_words long, removed array<long>, text string"
+KEPT = "doc_id long, k1 long, k2 long, removed array<long>"
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in ddl.split(", "))])
 
 
@@ -111,7 +110,7 @@ def _profiles(half: int):
     def run(batches):
         hashed = Words()
         for batch in batches:
-            n, k1, k2, sha, ends, parts = [], [], [], [], [0], []
+            n, k1, k2, ends, parts = [], [], [], [0], []
             for text in batch.column(1):
                 words = text.as_py().split()
                 ids = hashed(words)
@@ -119,7 +118,6 @@ def _profiles(half: int):
                 n.append(len(words))
                 k1.append(one)
                 k2.append(two)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 chosen = np.empty(0, np.uint64)
                 if len(ids) >= 2 * half:
                     halves = _half_windows(ids, half)
@@ -133,7 +131,7 @@ def _profiles(half: int):
                 ends.append(ends[-1] + len(chosen))
             values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(sha), lists]
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), lists]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -216,7 +214,13 @@ def covered_words(full: np.ndarray, gone: np.ndarray, window: int) -> np.ndarray
     return np.cumsum(edge)[:-1] > 0
 
 
+def _spans(covered: np.ndarray) -> np.ndarray:
+    """Starts and ends (the word after the last) of the covered stretches, in turn."""
+    return np.flatnonzero(np.diff(np.r_[False, covered, False]))
+
+
 def _kept(half: int):
+    """Per candidate: its removed stretches of words."""
     schema = _schema(KEPT)
 
     def run(batches):
@@ -230,8 +234,8 @@ def _kept(half: int):
                     continue
                 gone = np.empty(0, np.int64) if not gone.is_valid else gone.values.to_numpy(zero_copy_only=False)
                 covered = covered_words(_full_windows(ids, half), np.asarray(gone).view(np.uint64), 2 * half)
-                kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
-                rows.append((doc_id.as_py(), *_class_of(ids), int(covered.sum()), hashlib.sha256(kept).hexdigest()))
+                if covered.any():
+                    rows.append((doc_id.as_py(), *_class_of(ids), _spans(covered)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
@@ -240,8 +244,37 @@ def _kept(half: int):
     return run
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) per row; ``window`` is even."""
+def _classed(batches):
+    """Each text with the class of its words."""
+    hashed, schema = Words(), _schema(WORDS)
+    for batch in batches:
+        classes = [_class_of(hashed(text.as_py().split())) for text in batch.column(1)]
+        keys = [pa.array([c[i] for c in classes], pa.int64()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *keys, batch.column(1).cast(pa.binary())], schema=schema)
+
+
+def _left(batches):
+    """The words of (doc_id, text, removed) outside the removed stretches."""
+    schema = _schema(LEFT)
+    for batch in batches:
+        ids = [None if i == NO_ID else i for i in batch.column(0).to_pylist()]
+        n, removed, texts = [], [], []
+        for text, spans in zip(batch.column(1), batch.column(2)):
+            words, spans = text.as_py().split(), spans.as_py() or []
+            edges = [0, *spans, len(words)]
+            kept = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
+            n.append(len(words))
+            removed.append(spans)
+            texts.append(b" ".join(kept).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, n, removed, texts), schema)], schema=schema)
+
+
+def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, removed, text) per row; ``window`` is even.
+
+    ``text`` holds the words that stay, one space between them. ``removed`` has the removed
+    stretches in order, of each the place of its first word and the place after its last one.
+    """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
     half = window // 2
@@ -276,16 +309,25 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kept = kept.dropDuplicates(["doc_id", "k1", "k2"])
     has_window = F.col("n_words") >= window
     copy = has_window & (F.col("doc_id") > F.col("first_id"))
-    return (
+    whole = F.array(F.lit(0).cast("long"), F.col("n_words"))
+    removed = (
         profile.drop("halves")
         .join(first, ["k1", "k2"])
         .join(kept, ["doc_id", "k1", "k2"], "left")
-        .select(
-            F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
-            "n_words",
-            F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
-        )
+        .select("doc_id", "k1", "k2", F.when(copy, whole).otherwise(F.col("removed")).alias("removed"))
+        .where("removed IS NOT NULL")
+        .dropDuplicates(["doc_id", "k1", "k2"])
+    )
+    removed = materialize(removed, "removed-words")
+    texts = rows.mapInArrow(_classed, WORDS).join(removed, ["doc_id", "k1", "k2"], "left")
+    return texts.select("doc_id", "text", "removed").mapInArrow(_left, LEFT)
+
+
+def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) per row: digests of ``kept_texts``."""
+    removed = F.expr("aggregate(transform(removed, (x, i) -> IF(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
+    return kept_texts(docs, window).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 

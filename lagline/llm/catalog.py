@@ -12,11 +12,14 @@ from lagline.llm import (
     language,
     licenses,
     mixing,
+    periods,
     pseudonyms,
     quality,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
+    warc,
 )
 from lagline.llm.common import documents
 
@@ -74,6 +77,18 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.notices(documents(spark, folder))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder), changed=spelling.thinned)
+
+
+def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.summary(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality,
@@ -86,12 +101,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_exact_dedup,
         op10_licenses,
+        op11_warc,
+        op12_spelling,
+        op13_periods,
     )
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": mixing.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_warc": warc.SQL,
 }
 
 

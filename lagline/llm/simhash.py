@@ -250,13 +250,13 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return single.unionByName(chosen.drop("mark_id", "mark_key", "mark_stays"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id (null last).
 
     Rows are told apart by doc_id and text, so null and repeated ids need no rule of their own.
     """
     keyed = narrow(docs).withColumn("text_key", F.md5("text"))
-    rows = materialize(_keyed_fingerprints(keyed, 3), "fingerprints")
+    rows = materialize(_keyed_fingerprints(keyed, words_per_shingle), "fingerprints")
     classes = materialize(rows.select("bits").distinct(), "fingerprint-classes")
     groups = components(links(classes))
     found = rows.join(groups, F.col("bits") == F.col("node"), "left")

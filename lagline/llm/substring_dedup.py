@@ -324,10 +324,14 @@ def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) per row: digests of ``kept_texts``."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text, removed) per row: ``kept_texts`` with counts and digests.
+
+    ``removed`` lists the removed stretches as in ``kept_texts``, with commas between.
+    """
     removed = F.expr("aggregate(transform(removed, (x, i) -> IF(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
     return kept_texts(docs, window).select(
-        "doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        F.col("text").alias("kept_text"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
     )
 
 
@@ -347,12 +351,17 @@ WITH t AS (
   SELECT doc_id, word, pos,
          max(bad) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
   FROM starts
+), edges AS (
+  SELECT *, lag(gone, 1, 0) OVER p AS before, lead(gone, 1, 0) OVER p AS after FROM marked
+  WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
 ), kept AS (
-  SELECT doc_id, sum(gone)::BIGINT AS n_removed,
-         sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS sha
-  FROM marked GROUP BY doc_id
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS txt,
+         array_to_string(list_sort(list_concat(
+           coalesce(list(pos - 1) FILTER (WHERE gone = 1 AND before = 0), []),
+           coalesce(list(pos) FILTER (WHERE gone = 1 AND after = 0), []))), ',') AS stretches
+  FROM edges GROUP BY doc_id
 )
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(sha, sha256('')) AS kept_sha256
+       sha256(coalesce(txt, '')) AS kept_sha256, coalesce(txt, '') AS kept_text, coalesce(stretches, '') AS removed
 FROM t LEFT JOIN kept USING (doc_id)
 """

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lagline.llm import decontamination, exact_dedup, mixing, similar, toxicity
-from lagline.session import use_checkpoints
+from lagline.llm import decontamination, exact_dedup, mixing, simhash, toxicity
+from lagline.session import run_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,8 +22,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are near copies."""
-    return similar.deduplicate(docs)
+    """Of texts linked by fingerprints of three-word shingles within three bits, one stays."""
+    return simhash.deduplicate(docs, words_per_shingle=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages in order; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    base = f"{use_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, folder).write.parquet(path)

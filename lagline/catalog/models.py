@@ -123,11 +123,18 @@ def history(spark, folder):
     )
 
 
+def corrections(spark, folder):
+    """All fits at once: every complexity for the development months and for the audit month."""
+    months = (*S.DEVELOPMENT_MONTHS, S.AUDIT_MONTH)
+    return remembered("corrections", lambda s, f: G.fit_months(history(s, f), months=months), spark, folder)
+
+
 def boosted(spark, folder):
     """Predictions and scores of every complexity and development month."""
 
     def build(s, f):
-        predicted, scores = G.compare(history(s, f))
+        past = {k: c for k, c in corrections(s, f).items() if k[1] in S.DEVELOPMENT_MONTHS}
+        predicted, scores = G.compare(history(s, f), past)
         return predicted, materialize(scores, "boost-scores")
 
     return remembered("boost", build, spark, folder)
@@ -139,12 +146,13 @@ def chosen_leaves(spark, folder) -> int:
 
 
 def corrected(spark, folder):
-    """The chosen complexity's estimates: development months from the comparison, the audit month fitted last."""
+    """The chosen complexity's estimates: development months from the comparison, then the audit month."""
 
     def build(s, f):
         leaves = chosen_leaves(s, f)
         development = boosted(s, f)[0].where(F.col("candidate") == f"residual_boost_{leaves}")
-        return materialize(development.unionByName(G.audit_month(history(s, f), leaves)), "corrected")
+        audit = G.estimates(history(s, f), {(leaves, S.AUDIT_MONTH): corrections(s, f)[leaves, S.AUDIT_MONTH]})
+        return materialize(development.unionByName(audit), "corrected")
 
     return remembered("corrected", build, spark, folder)
 
@@ -243,12 +251,7 @@ def _(spark, folder):
 @query("m28b_scored_requests")
 def _(spark, folder):
     rows = feature_table(spark, folder)
-    correction = remembered(
-        "request-correction",
-        lambda s, f: G.fit_before(history(s, f), S.AUDIT_MONTH, chosen_leaves(s, f)),
-        spark,
-        folder,
-    )
+    correction = corrections(spark, folder)[chosen_leaves(spark, folder), S.AUDIT_MONTH]
     weight = A.best_weight(A.blend_scores(corrected_detail(spark, folder), M.score_real)).first()["boost_weight"]
     estimates = scoring.historical_estimates(requests(spark, folder), rows)
     return scoring.score_requests(estimates, correction, weight, reliable(spark, folder)).select(

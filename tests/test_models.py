@@ -73,5 +73,11 @@ def test_correction_learns_and_survives_saving(spark, tmp_path):
     error = predicted.agg(F.avg(F.abs(F.col(S.TARGET) - F.col("prediction")))).first()[0]
     assert error < 45  # the uncorrected error is 50
     correction.save(str(tmp_path / "m"))
-    again = G.Correction.load(str(tmp_path / "m")).apply(rows.withColumn("route_name", F.lit("never seen")))
-    assert again.where("prediction IS NULL").count() == 0
+    again = G.Correction.load(str(tmp_path / "m"))
+    assert again.apply(rows.withColumn("route_name", F.lit("never seen"))).where("prediction IS NULL").count() == 0
+    both = predicted.select("event_key", "prediction").exceptAll(again.apply(rows).select("event_key", "prediction"))
+    assert both.count() == 0 and again.leaves == 15
+    correction.save(str(tmp_path / "m"), mark="second state")
+    assert G.Correction.load(str(tmp_path / "m"), mark="second state").model.first == correction.model.first
+    with pytest.raises(ValueError, match="second state"):
+        G.Correction.load(str(tmp_path / "m"), mark="third state")

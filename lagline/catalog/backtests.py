@@ -22,6 +22,7 @@ from lagline.plans import audit as P
 from lagline.plans import backtest as T
 from lagline.plans import regression as R
 from lagline.plans import scoring
+from lagline.sources.work import materialize
 
 ORIGINAL = B.BY_NAME["original_grouped"]
 SLOT = B.BY_NAME["schedule_slot"]
@@ -359,6 +360,11 @@ def monthly_scores(spark, folder, configs=B.CANDIDATES, months=DEV):
     return T.scored(T.monthly(feature_table(spark, folder), configs, months))
 
 
+def grid_scores(spark, folder):
+    """The scores of the whole grid as a written table, once per session and state of the tables."""
+    return remembered("grid-scores", lambda s, f: materialize(monthly_scores(s, f), "grid-scores"), spark, folder)
+
+
 @query("m12_monthly_backtest", over("feat", _ALL_SCORES, *_MONTHLY), text=("month",))
 def _(spark, folder):
     return monthly_scores(spark, folder)
@@ -389,7 +395,7 @@ _SCORES_TABLE = [
 
 @query("a26_candidate_summary", over("feat", _SUMMARY, *_SCORES_TABLE))
 def _(spark, folder):
-    return T.candidate_summary(monthly_scores(spark, folder))
+    return T.candidate_summary(grid_scores(spark, folder))
 
 
 @query(
@@ -402,7 +408,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return T.best(T.candidate_summary(monthly_scores(spark, folder)))
+    return T.best(T.candidate_summary(grid_scores(spark, folder)))
 
 
 @query(
@@ -426,7 +432,7 @@ def _(spark, folder):
     text=("month",),
 )
 def _(spark, folder):
-    return T.pivoted_gains(monthly_scores(spark, folder), [c.name for c in B.CANDIDATES])
+    return T.pivoted_gains(grid_scores(spark, folder), [c.name for c in B.CANDIDATES])
 
 
 # The winner of the monthly cycle, its weekly cycle, and the winner of both, chosen in SQL.
@@ -453,7 +459,7 @@ _CYCLES = [
 
 def selection(spark, folder):
     """The search over both cycles, once per session and state of the tables."""
-    return remembered("selection", lambda s, f: T.select_cycles(feature_table(s, f)), spark, folder)
+    return remembered("selection", lambda s, f: T.select_cycles(feature_table(s, f), first=grid_scores(s, f)), spark, folder)
 
 
 @query(

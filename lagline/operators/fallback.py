@@ -8,21 +8,30 @@ Levels, finest first::
     3  route
     4  everything
 
-A fit serves many configurations and many cutoffs at once. Rows are reduced to counts per
-(keys, history step, delay), where a *step* is the stretch of days between two neighbouring
-window edges. Counts are then placed by the level's keys and sorted by delay once, and all
-cutoffs are answered in that one pass, so nothing carries history x cutoffs rows.
-Slot width and day key do not matter above level 1, so those levels are fitted once for all
-configurations that share a history window; the coarse levels are summed from the stop
-counts. The fitted levels are one written table, as a saved model is.
+A fit serves many configurations and many cutoffs at once. Rows are read once and reduced to
+counts per (route, stop, weekday, minute, history step, delay), where a *step* is the stretch of
+days between two neighbouring window edges. Everything else is a lattice of sums over these
+counts: a wide slot is the sum of the widest planned slots that divide it, a day type the sum of
+its weekdays, a level the sum of the one below. The counts are placed once by route, stop and a
+span of minutes that no slot crosses; all slots and day keys are nested in it, so their sums and
+sorted passes need no further placing.
+
+Counts are sorted by delay once per level and shape, and all of its cutoffs are answered in that
+one pass, so nothing carries history x cutoffs or history x shapes rows. Slot width and day key
+do not matter above level 1, so those levels are fitted once for all configurations. The fitted
+levels are one written table, as a saved model is.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lagline import schema as S
@@ -51,8 +60,7 @@ TABLE_COLUMNS = {
     "median": "double",
     "n": "bigint",
 }
-# Running counts carried side by side over one sorted pass.
-WINDOWS_PER_PASS = 16
+COUNTS_AT_ONCE = 1 << 17  # rows of counts that a task answers together
 
 
 @dataclass(frozen=True)
@@ -168,94 +176,129 @@ def fit(
         for w in windows
     }
     minute = "scheduled_minute_of_service_day"
-    rows = _with_step(history, edges).selectExpr(
-        "step", "route_name", "stop_id", "weekday", "day_type", minute, f"{S.TARGET} AS value"
-    )
-    shapes = sorted({(c.day, c.minutes) for c, _ in planned})
-    widths = sorted({m for _, m in shapes})
-    by_shape = ",".join(f"('{d}', {m}, int({d}), int({minute} div {m}))" for d, m in shapes)
-    by_width = ",".join(f"({m}, int({minute} div {m}))" for m in widths)
-    shaped = rows.selectExpr(
-        "*", f"inline(array({by_shape})) AS (day_kind, minutes, day_key, slot)"
-    )
-    sliced = rows.selectExpr("*", f"inline(array({by_width})) AS (minutes, slot)")
+    minute = "scheduled_minute_of_service_day"
+    finest = ["route_name", "stop_id", "weekday", "day_type", minute, "step", "value"]
+    rows = _with_step(history, edges).withColumn("value", F.col(S.TARGET))
+    counts = materialize(rows.where("value IS NOT NULL").groupBy(*finest).agg(F.count(F.lit(1)).alias("n")), "delay-counts")
 
-    def counted(frame: DataFrame, depth: int, n: Column) -> DataFrame:
-        return frame.groupBy(*SHAPE_KEYS[depth], *GROUP_KEYS[depth], "step", "value").agg(n.alias("n"))
+    shapes = sorted({(c.day, c.minutes) for c, _ in planned})
+    span = math.lcm(*[m for _, m in shapes])
+    placed = counts.withColumn("span", F.expr(f"int({minute} div {span})")).withColumnRenamed(minute, "slot")
+    placed = placed.repartition("route_name", "stop_id", "span")
+    tables = []
 
-    one = F.count(F.lit(1))
-    counts = {
-        0: counted(shaped, 0, one),
-        1: counted(sliced, 1, one),
-        2: materialize(counted(rows, 2, one), "stop-counts"),
-    }
-    counts[3] = counted(counts[2], 3, F.sum("n"))
-    counts[4] = counted(counts[3], 4, F.sum("n"))
+    def add(frame: DataFrame, depth: int, keys: list[str], asked: Iterable[Window], **shape):
+        """Medians of a level for the windows that are asked of it, in its place of the table."""
+        asked = set(asked)
+        table = _medians(frame, keys, [(w, reach[w]) for w in windows if w in asked])
+        values = {c: f"{v!r}" for c, v in shape.items()} | {"depth": str(depth)}
+        held = {*GROUP_KEYS[depth], *WINDOW_KEYS, "median", "n"}
+        tables.append(
+            table.selectExpr(*[
+                c if c in held else f"CAST({values.get(c, 'NULL')} AS {t}) AS {c}" for c, t in TABLE_COLUMNS.items()
+            ])
+        )
 
-    tables = []
-    for depth in range(GLOBAL_DEPTH + 1):
-        keys = SHAPE_KEYS[depth] + GROUP_KEYS[depth]
-        placed = counts[depth].repartition(*keys) if keys else counts[depth]
-        for first in range(0, len(windows), WINDOWS_PER_PASS):
-            batch = [(w, reach[w]) for w in windows[first : first + WINDOWS_PER_PASS]]
-            table = _medians(placed, keys, batch).withColumn("depth", F.lit(depth))
-            if depth < 2:
-                table = table.where(_served(depth, planned))
-            tables.append(
-                table.selectExpr(*[
-                    c if c in (*keys, *WINDOW_KEYS, "median", "n", "depth") else f"CAST(NULL AS {t}) AS {c}"
-                    for c, t in TABLE_COLUMNS.items()
-                ])
-            )
+    def asked_of(**shape) -> set[Window]:
+        return {w for c, w in planned if all(getattr(c, k) == v for k, v in shape.items())}
+
+    by_day: dict[int, DataFrame] = {}
+    by_slot: dict[int, DataFrame] = {}
+    place = ["route_name", "stop_id", "span"]
+    for m in sorted({1, *(m for _, m in shapes)}):
+        if m == 1:
+            by_day[m] = placed
+            by_slot[m] = _summed(placed, [*place, "slot"])
+        else:
+            finer = max(w for w in by_day if m % w == 0)
+            wider = F.expr(f"int(slot div {m // finer})")
+            by_day[m] = _summed(by_day[finer].withColumn("slot", wider), [*place, "weekday", "day_type", "slot"])
+            by_slot[m] = _summed(by_slot[finer].withColumn("slot", wider), [*place, "slot"])
+    for day, m in shapes:
+        keyed = by_day[m].withColumn("day_key", F.expr(f"int({day})"))
+        keyed = keyed if day == "weekday" else _summed(keyed, [*place, "day_key", "slot"])
+        add(keyed, 0, [*place, "day_key", "slot"], asked_of(day=day, minutes=m), day_kind=day, minutes=m)
+    for m in sorted({m for _, m in shapes}):
+        add(by_slot[m], 1, [*place, "slot"], asked_of(minutes=m), minutes=m)
+
+    stops = materialize(_summed(counts, GROUP_KEYS[2]), "stop-counts")
+    coarse = {2: stops, 3: _summed(stops, GROUP_KEYS[3])}
+    coarse[4] = _summed(coarse[3], GROUP_KEYS[4])
+    for depth, frame in coarse.items():
+        keys = GROUP_KEYS[depth]
+        add(frame.repartition(*keys) if keys else frame, depth, keys, windows)
     model = tables[0]
     for table in tables[1:]:
         model = model.unionByName(table)
     return materialize(model, "fallback-model", ["depth"])
 
 
-def _medians(counts: DataFrame, keys: list[str], windows: list[tuple[Window, list[int]]]) -> DataFrame:
-    """Median and size per key and history window from (keys, step, value, n) rows.
+def _summed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts per coarser keys."""
+    return counts.groupBy(*keys, "step", "value").agg(F.sum("n").alias("n"))
 
-    Every key's values are sorted once. Running counts of all windows pass over that order
-    together; the median is where a window's running count crosses half of its total. The
-    input is placed by the keys already, so nothing is shuffled or repeated per window.
-    """
-    inside = [f"IF(step BETWEEN {steps[0]} AND {steps[-1]}, n, 0)" if steps else "0" for _, steps in windows]
-    order = f"PARTITION BY {', '.join(keys) or '1'} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    running = counts.selectExpr(
-        *keys,
-        "value",
-        *[f"sum({x}) OVER ({order} CURRENT ROW) AS upto{i}" for i, x in enumerate(inside)],
-        *[f"sum({x}) OVER ({order} UNBOUNDED FOLLOWING) AS all{i}" for i, x in enumerate(inside)],
-    )
-    picked = running.groupBy(*keys).agg(*[
-        F.expr(e)
-        for i, _ in enumerate(windows)
-        for e in (
-            f"max(all{i}) AS n{i}",
-            f"min(IF(upto{i} >= (all{i} + 1) div 2, value, NULL)) AS low{i}",
-            f"min(IF(upto{i} >= all{i} div 2 + 1, value, NULL)) AS high{i}",
-        )
-    ])
-    rows = ", ".join(
-        f"({w.hist_days}, DATE'{w.hist_end}', (double(low{i}) + double(high{i})) / 2, bigint(n{i}))"
-        for i, (w, _) in enumerate(windows)
-    )
-    return picked.selectExpr(*keys, f"inline(array({rows})) AS (hist_days, hist_end, median, n)").where("n > 0")
 
+def _medians(counts: DataFrame, keys: list[str], windows: Sequence[tuple[Window, list[int]]]) -> DataFrame:
+    """Median and size per key and history window from (keys, step, value, n) rows placed by the keys.
 
-def _served(depth: int, planned: Sequence[tuple[Config, Window]]) -> Column:
-    """Keep the windows some configuration of that slot width (and day key) asks for."""
-    asked: dict[tuple, set[tuple]] = {}
-    for c, w in planned:
-        shape = (c.day, c.minutes) if depth == 0 else (c.minutes,)
-        asked.setdefault(shape, set()).add((w.hist_days, w.hist_end))
-    clauses = []
-    for shape, pairs in sorted(asked.items()):
-        names = " AND ".join(f"{k} = {v!r}" for k, v in zip(SHAPE_KEYS[depth], shape))
-        listed = ", ".join(f"({days}, DATE'{end}')" for days, end in sorted(pairs))
-        clauses.append(f"({names} AND (hist_days, hist_end) IN ({listed}))")
-    return F.expr(" OR ".join(clauses))
+    Rows come sorted by key and value. A window's running count over that order crosses half of a
+    key's total at its median, and one search per window finds the crossings of all keys at hand.
+    A task holds some batches of counts and the key that is still open at their end.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    spans = [(w.hist_days, w.hist_end, steps[0], steps[-1]) for w, steps in windows if steps]
+    out = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["hist_days int", "hist_end date", "median double", "n bigint"])
+
+    def answered(table: pa.Table, begins: np.ndarray):
+        step, value, n = (table.column(len(keys) + i).to_numpy() for i in range(3))
+        last = np.r_[begins[1:], len(step)] - 1
+        named = table.select(keys).take(pa.array(begins))
+        for days, end, low, high in spans:
+            upto = np.cumsum(np.where((step >= low) & (step <= high), n, 0))
+            before = np.where(begins > 0, upto[begins - 1], 0)
+            total = upto[last] - before
+            held = np.flatnonzero(total)
+            if len(held):
+                before, total = before[held], total[held]
+                middle = [value[np.searchsorted(upto, before + rank)] for rank in ((total + 1) // 2, total // 2 + 1)]
+                size = len(held)
+                columns = [c.combine_chunks() for c in named.take(pa.array(held)).columns]
+                columns += [pa.array([days] * size, pa.int32()), pa.array([end] * size, pa.date32())]
+                columns += [pa.array((middle[0] + middle[1]) / 2.0), pa.array(total.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "hist_days", "hist_end", "median", "n"])
+
+    def begins_of(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        if table.num_rows > 1:
+            changed = np.zeros(table.num_rows - 1, bool)
+            for k in keys:
+                c = table.column(k)
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                changed |= pc.fill_null(pc.not_equal(a, b), False).to_numpy()
+                changed |= pc.not_equal(pc.is_null(a), pc.is_null(b)).to_numpy()
+            new[1:] = changed
+        return np.flatnonzero(new)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= COUNTS_AT_ONCE:
+                table = pa.Table.from_batches(held)
+                begins = begins_of(table)
+                open_at = int(begins[-1])
+                if open_at:
+                    yield from answered(table.slice(0, open_at), begins[:-1])
+                held = table.slice(open_at).combine_chunks().to_batches()
+                rows = 0  # of new ones: an open key is looked at again after as many more
+        if held and sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
+            yield from answered(table, begins_of(table))
+
+    ordered = counts.select(*keys, "step", "value", "n")
+    ordered = ordered.sortWithinPartitions(*keys, "value") if keys else ordered.coalesce(1).sortWithinPartitions("value")
+    return ordered.mapInArrow(run, out)
 
 
 def ask(
@@ -357,6 +400,22 @@ def predict_wide(
     return dated.alias("e").join(wide, _matching(keys), "left").select("e.*", *added)
 
 
+def predict_long(
+    events: DataFrame, model: DataFrame, configs: Sequence[Config], cutoff: Column, embargo: int = S.EMBARGO_DAYS
+) -> DataFrame:
+    """One row per event and configuration with its estimate, support and depth.
+
+    The events are joined once, in the wide form; a row per configuration comes after that and
+    goes no further than what reads it.
+    """
+    wide = predict_wide(events, model, configs, cutoff, embargo)
+    options = ", ".join(
+        f"named_struct('candidate', '{c.name}', 'estimate', est_{c.name}, 'support', support_{c.name}, 'depth', depth_{c.name})"
+        for c in configs
+    )
+    return wide.selectExpr(*events.columns, "cutoff", f"inline(array({options}))")
+
+
 def depth_usage(predicted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows and share per fallback level; a level nobody used shows with zero."""
     # ---- Fixed values: names of the levels

@@ -31,15 +31,13 @@ def period(features: DataFrame, months: Sequence[str]) -> DataFrame:
 def monthly(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
     """Estimates refreshed at each month start; one row per event and candidate."""
     model = B.fit(features, [(c, B.month_cutoffs(months)) for c in configs])
-    asked = B.ask(period(features, months), configs, F.col("month"))
-    return B.predict(asked, model)
+    return B.predict_long(period(features, months), model, configs, F.col("month"))
 
 
 def weekly(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
     """Estimates refreshed every seven days, counted from each month start."""
     model = B.fit(features, [(c, B.week_cutoffs(months)) for c in configs])
-    asked = B.ask(period(features, months), configs, C.week_start(F.col("service_date")))
-    return B.predict(asked, model)
+    return B.predict_long(period(features, months), model, configs, C.week_start(F.col("service_date")))
 
 
 def grid(features: DataFrame, configs: Sequence[B.Config], months: Sequence[str]) -> DataFrame:
@@ -124,11 +122,17 @@ class Selection:
 
 
 def select_cycles(
-    features: DataFrame, configs: Sequence[B.Config] = tuple(B.CANDIDATES), months: Sequence[str] = tuple(S.DEVELOPMENT_MONTHS)
+    features: DataFrame,
+    configs: Sequence[B.Config] = tuple(B.CANDIDATES),
+    months: Sequence[str] = tuple(S.DEVELOPMENT_MONTHS),
+    first: DataFrame | None = None,
 ) -> Selection:
-    """Grid, then the weekly cycle of the grid's winner, then the best of both cycles."""
+    """Grid, then the weekly cycle of the grid's winner, then the best of both cycles.
+
+    ``first`` may hold the grid's scores where they exist already.
+    """
     named = {c.name: c for c in configs}
-    first = materialize(scored(monthly(features, configs, months)), "monthly-scores")
+    first = materialize(scored(monthly(features, configs, months)), "monthly-scores") if first is None else first
     leader = named[best(candidate_summary(first)).first()["candidate"]]
     second = scored(weekly(features, [leader], months)).withColumn("candidate", F.lit(leader.name + WEEKLY))
     scores = first.unionByName(materialize(second, "weekly-scores"))

@@ -181,3 +181,29 @@ def test_depth_usage_shows_unused_levels(spark):
     rows = spark.createDataFrame([("v", 0), ("v", 0), ("v", 2)], "phase string, depth int")
     got = {r["depth"]: r["records"] for r in B.depth_usage(rows, ["phase"]).collect()}
     assert got == {0: 2, 1: 0, 2: 1, 3: 0, 4: 0}
+
+
+def test_batches_of_counts_change_nothing(spark, monkeypatch):
+    """Keys cut by a batch's end, widths that divide none of the others, and windows without a day."""
+    rows = [
+        (dt.date(2026, 1, 1) + dt.timedelta(days=i % 50), ["1", "4", None][i % 3], ["A", None][i % 2], i % 7, max(0, i % 7 - 4), (i * 37) % 300, (i * 53) % 97)
+        for i in range(2000)
+    ]
+    schema = "service_date date, route_name string, stop_id string, weekday int, day_type int, scheduled_minute_of_service_day int, departure_delay_seconds long"
+    events = spark.createDataFrame(rows, schema).repartition(3)
+    configs = [B.Config("a", 45, 1), B.Config("b", 60, 1), B.Config("c", 90, 1, days=14), B.Config("d", 45, 1, day="day_type"), B.Config("e", 7, 1, days=1)]
+    cutoffs = [dt.date(2026, 1, 10), dt.date(2026, 2, 1), dt.date(2025, 12, 1)]
+    found = B.fit(events, [(c, cutoffs) for c in configs])
+    usual = sorted(map(str, found.collect()))
+    monkeypatch.setattr(B, "COUNTS_AT_ONCE", 5)
+    assert sorted(map(str, B.fit(events, [(c, cutoffs) for c in configs]).collect())) == usual
+    plain = {}
+    for day, route, stop, weekday, kind, minute, value in rows:
+        for c in configs:
+            for w in B.windows_for(c, cutoffs, B.S.EMBARGO_DAYS):
+                if day < w.hist_end and (w.start is None or day >= w.start):
+                    key = (c.day, c.minutes, w.hist_days, w.hist_end, route, stop, kind if c.day == "day_type" else weekday, minute // c.minutes)
+                    plain.setdefault(key, []).append(value)
+    names = ["day_kind", "minutes", "hist_days", "hist_end", "route_name", "stop_id", "day_key", "slot"]
+    got = {tuple(r[n] for n in names): (r["median"], r["n"]) for r in found.where("depth = 0").collect()}
+    assert got == {k: (float(np.median(v)), len(v)) for k, v in plain.items()}

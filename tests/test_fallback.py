@@ -140,7 +140,7 @@ def test_lookup_equals_brute_force(random_events, days, null_groups):
 
 def test_many_windows_use_several_passes(random_events):
     _, events = random_events
-    cutoffs = [dt.date(2026, 2, 1) + dt.timedelta(days=d) for d in range(B.WINDOWS_PER_PASS + 5)]
+    cutoffs = [dt.date(2026, 2, 1) + dt.timedelta(days=d) for d in range(21)]
     config = B.Config("c", minutes=60, minimum=1)
     together = B.fit(events, [(config, cutoffs)])
     alone = B.fit(events, [(config, [cutoffs[-1]])])

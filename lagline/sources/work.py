@@ -23,6 +23,20 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no plan reads any more.
+
+    A folder goes as a whole; what lies outside this application's folder is left alone.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            base, _, rest = file.partition(f"/{run_folder(spark).rsplit('/', 1)[1]}/")
+            if rest:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{run_folder(spark)}/{rest.split('/', 1)[0]}")
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of very few splits, such as one small file.
 

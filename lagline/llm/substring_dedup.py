@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lagline.llm.common import NO_ID, narrow
-from lagline.sources.work import materialize
+from lagline.sources.work import discard, materialize
 
 WINDOW = 20
 HOT = 4096
@@ -319,6 +319,8 @@ def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .dropDuplicates(["doc_id", "k1", "k2"])
     )
     removed = materialize(removed, "removed-words")
+    # What follows reads the texts and this table only.
+    discard(profile, counted, first, candidates, full)
     texts = rows.mapInArrow(_classed, WORDS).join(removed, ["doc_id", "k1", "k2"], "left")
     return texts.select("doc_id", "text", "removed").mapInArrow(_left, LEFT)
 

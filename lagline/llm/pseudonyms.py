@@ -8,8 +8,9 @@ pseudonyms; separators stay, check digits are computed anew, dates stay dates.
 
 =========  ==========================================================================
 card       13-19 digits with a valid Luhn digit
-iban       valid modulo 97
-phone      international, or three groups of digits, 7-15 digits; the country code stays
+iban       valid modulo 97, in one piece or in groups; known countries at their length
+phone      international in groups of 1-8 digits, 7-15 digits in all, or national in three
+           groups; the country code stays
 ssn        3-2-4 digits with a valid area, group and serial
 ip         four octets of 0-255, permuted as one number of 32 bits
 date       yyyy-mm-dd, mm/dd/yyyy, dd/mm/yyyy (also with dots), 1900-01-01 to 2100-05-01
@@ -17,6 +18,11 @@ email      letters and digits replaced by a keyed stream over the whole address
 secret     hexadecimal strings of 32-64 digits and common access keys, by a keyed stream
 =========  ==========================================================================
 
+An international number of a country whose numbers have one length ends at that length. Any other
+takes every further group that keeps it at 15 digits or fewer, unless the group begins a date, an
+address, a card or a national number: no part of a number stays in clear, and a short number that
+stands right behind it may be taken in.
+
 E-mails and secrets have no bounded format to permute; their keyed stream depends on the whole
 value, so equal values stay linked. What fails validation is left as it stands.
 
@@ -32,10 +38,39 @@ ROUNDS = 8
 FIRST_DAY = "1900-01-01"
 DAY_RADIX = (270, 271)  # their product is the number of days that dates are permuted among
 
+# Registered IBAN lengths.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC",
+}
+# Country codes whose numbers all have this many further digits.
+PHONE_LENGTHS = {10: "1 7 91", 9: "33 34 48 351", 8: "45 47"}
+
+_IBANS = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}"
+    + (f"(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}})" if n % 4 else ")"))
+    for n, c in IBAN_LENGTHS.items()
+)
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})(?:[ .()-]{{0,3}}[0-9]){{{n}}}" for n, c in PHONE_LENGTHS.items())
+# What a further group of a number must not begin.
+_OTHERS = (
+    r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9])(?![0-9])"
+)
+_GROUP = rf"[ .-](?!{_OTHERS})[0-9]{{1,8}}(?![0-9%]|[/:,][0-9])"
+# Between 7 and 15 digits since the plus: written out, because a look-behind knows no repeated groups.
+_DIGIT = "[0-9][ .()-]{0,3}"
+_LONG_ENOUGH = rf"(?<=\+{_DIGIT * 7}{f'(?:{_DIGIT}' * 8}{')?' * 8})"
+_OTHER_COUNTRY = (
+    rf"[1-9][0-9]{{0,14}}(?:[ .-]?\([0-9]{{1,4}}\)[ .-]?[0-9]{{1,8}}(?![0-9]))?(?:{_GROUP}){{0,6}}" + _LONG_ENOUGH
+)
+
 # The formats.
 FORMATS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<day>[/.])[0-9]{1,2}\k<day>[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -44,11 +79,8 @@ FORMATS = {
         r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{1,7}"
         r"|[0-9]{4}(?<six>[ -])[0-9]{6}\k<six>[0-9]{5})(?![0-9])"
     ),
-    # No form can take in a number that follows it: groups are counted.
     "phone": (
-        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}"
-        r"|\+[0-9]{1,3}(?<pairs>[ .-])[0-9](?:\k<pairs>[0-9]{2}){4}"
-        r"|\+[0-9]{1,3}(?<groups>[ .-]?)[0-9]{2,4}(?:\k<groups>[0-9]{2,4}){1,2}"
+        rf"(?<![0-9+])(?:\+(?:{_KNOWN})|\+{_OTHER_COUNTRY}"
         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
     ),
 }
@@ -162,10 +194,10 @@ def _iban(key: str, value: Column) -> Column:
     country, account = F.substring(value, 1, 2), F.substr(value, F.lit(5))
 
     def numbered(changed):
-        check = 98 - _iban_remainder(F.concat(changed, country, F.lit("00")))
+        check = 98 - _iban_remainder(F.concat(F.replace(changed, F.lit(" ")), country, F.lit("00")))
         return F.concat(country, F.lpad(check.cast("string"), 2, "0"), changed)
 
-    valid = _iban_remainder(F.concat(account, F.substring(value, 1, 4))) == 1
+    valid = _iban_remainder(F.concat(F.replace(account, F.lit(" ")), F.substring(value, 1, 4))) == 1
     digits = let(_digits(account), lambda d: permuted_digits(key, "iban", d))
     return F.when(valid, let(_with_digits(account, digits), numbered))
 

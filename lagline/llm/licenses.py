@@ -1,13 +1,14 @@
 """License notices in documents, by patience alignment against templates.
 
-Every whole text is read as words (lower case, without marks around them). Words that tell a
-template from ordinary prose point at stretches of the text about as long as the template; a
-stretch is aligned to it by patience: words that occur once in both are anchors, their longest
+Every whole text is read as words (lower case, without marks around them). A stretch about as long
+as a template is looked at where it holds so many of the template's words, ordinary ones aside,
+that the coverage wanted is possible; it is aligned to the template by patience: words that occur once in both are anchors, their longest
 increasing subsequence is kept, and the gaps between kept anchors are aligned in the same way,
 at last by the longest common subsequence where no word is unique. Coverage is the share of
-the template's words that are aligned. A notice is reported where coverage reaches ``COVERAGE``
-and the words that name the license are among those aligned; notices of one license in a text
-do not overlap, and a text may carry any number of them.
+the template's words that are aligned. A notice counts where coverage reaches ``COVERAGE`` and the
+words that tell the version (3 from 2, Lesser, Affero) are among those aligned. Of notices that
+overlap, the one with the most aligned words is reported, then the one with the highest coverage,
+then the first template; a text may carry any number of notices.
 
 A null or empty text has no notice, a null ``doc_id`` is reported as null, repeated rows are
 reported each, an empty table gives an empty result.
@@ -33,18 +34,39 @@ SCHEMA = pa.schema([
 ])
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-# Public license notices, with the words that name each license.
+# Words of ordinary prose, which point at no license.
+PROSE = frozenset(
+    b"a all an and any are as at be but by can do file for form from had has have if in is it its may must no not of on or other "
+    b"shall that the these this to under use used was were which with without you your work terms following".split()
+)
+
+# Public license notices, with the words that tell each from its next of kin.
 TEMPLATES: dict[str, tuple[str, str]] = {
-    "MIT (line)": ("Released under the MIT License", "mit license"),
-    "Apache-2.0 (line)": ("Licensed under the Apache License, Version 2.0", "apache license 2.0"),
+    "MIT (line)": ("Released under the MIT License", "mit"),
+    "Apache-2.0 (line)": ("Licensed under the Apache License, Version 2.0", "apache 2.0"),
     "GPL-3.0 (line)": (
         "This work is licensed under the GNU General Public License, version 3",
-        "gnu general public license 3",
+        "gnu 3",
+    ),
+    "GPL-2.0 (line)": ("This work is licensed under the GNU General Public License, version 2", "gnu 2"),
+    "LGPL-3.0 (line)": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "lesser 3",
     ),
+    "AGPL-3.0 (line)": (
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "affero 3",
+    ),
+    "BSD-3-Clause (line)": ("Released under the BSD 3-Clause License", "bsd 3-clause"),
+    "BSD-2-Clause (line)": ("Released under the BSD 2-Clause License", "bsd 2-clause"),
     "CC-BY-NC-4.0 (line)": ("Licensed under CC BY-NC 4.0", "cc by-nc 4.0"),
     "CC-BY-4.0 (line)": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
-        "creative commons attribution 4.0",
+        "attribution 4.0",
+    ),
+    "CC-BY-SA-4.0 (line)": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "attribution-sharealike 4.0",
     ),
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -53,7 +75,7 @@ TEMPLATES: dict[str, tuple[str, str]] = {
         "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the Software.",
-        "permission granted sublicense",
+        "",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the "
@@ -61,13 +83,42 @@ TEMPLATES: dict[str, tuple[str, str]] = {
         "required by applicable law or agreed to in writing, software distributed under the License is "
         "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License.",
-        "apache license compliance",
+        "apache",
     ),
     "GPL-3.0-or-later": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, "
         "or (at your option) any later version.",
-        "gnu general public redistribute",
+        "3 later",
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version.",
+        "2 later",
+    ),
+    "GPL-2.0-only": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License version 2 as published by the Free Software Foundation.",
+        "2",
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version.",
+        "lesser 2.1 later",
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+        "lesser 3 later",
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+        "affero 3 later",
     ),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
@@ -75,17 +126,43 @@ TEMPLATES: dict[str, tuple[str, str]] = {
         "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
-        "redistribution redistributions disclaimer",
+        "",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+        "endorse",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-        "permission fee granted",
+        "",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
-        "mozilla public license",
+        "mozilla",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "eclipse 2.0",
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+        "to this work.",
+        "waived",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+        "",
     ),
 }
 
@@ -160,6 +237,22 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _drawn_together(pairs: list[tuple[int, int]], b: list) -> list[tuple[int, int]]:
+    """The same words aligned to the nearest equal ones: the earliest end, then the latest start."""
+    for step in (1, -1):
+        pairs, last = pairs[::step], None
+        for k, (i, j) in enumerate(pairs):
+            if last is not None:
+                last += step
+                while b[last] != b[j]:
+                    last += step
+                pairs[k] = (i, last)
+            else:
+                last = j
+        pairs = pairs[::step]
+    return pairs
+
+
 class Scanner:
     """Templates with the words that point at them."""
 
@@ -167,10 +260,16 @@ class Scanner:
         self.coverage = coverage
         self.names = list(templates)
         self.words = [words_of(text.encode()) for text, _ in templates.values()]
-        self.naming = [set(words_of(names.encode())) for _, names in templates.values()]
+        self.telling = [set(words_of(words.encode())) for _, words in templates.values()]
+        self.least = [-int(-coverage * len(words) // 1) for words in self.words]
         self.points: dict[bytes, list[int]] = {}
-        for t, naming in enumerate(self.naming):
-            for word in naming:
+        self.needed: list[int] = []
+        self.offset = [{w: words.index(w) for w in words} for words in self.words]
+        for t, words in enumerate(self.words):
+            rare = [w for w in words if w not in PROSE]
+            # A notice lacks at most len(words) - least of the template's words.
+            self.needed.append(max(1, len(rare) - (len(words) - self.least[t])))
+            for word in set(rare):
                 self.points.setdefault(word, []).append(t)
         self.known: dict[bytes, bytes] = {}
 
@@ -197,24 +296,41 @@ class Scanner:
             for t in points.get(word, ()):
                 at.setdefault(t, []).append(i)
         found = []
-        for t, places in sorted(at.items()):
-            found += self._notices(t, places, words)
-        return found
+        for t, places in at.items():
+            if len(places) >= self.needed[t]:
+                found += self._notices(t, places, words)
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, _, t, first, last, share in sorted(found):
+            k = bisect_left(taken, (first, last))
+            if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last):
+                taken.insert(k, (first, last))
+                out.append((t, self.names[t], first, last, share))
+        return [row[1:] for row in sorted(out)]
 
     def _notices(self, t: int, places: list[int], words: list[bytes]):
-        template, naming = self.words[t], self.naming[t]
-        reach = len(template) + len(template) // 4 + 2
+        """(-aligned words, -coverage, template, first word, last word, coverage) of one template's notices."""
+        template, telling = self.words[t], self.telling[t]
+        more, least = self.needed[t] - 1, self.least[t]
+        slack = len(template) // 4 + 2
+        reach = len(template) + slack
+        wanted = Counter(template)
         out, done = [], -1
-        for i in places:
-            if i <= done or not naming <= set(words[max(done + 1, i - reach) : i + reach]):
+        for k in range(len(places) - more):
+            i = places[k]
+            if i <= done or places[k + more] - i >= reach:
                 continue
-            begin, end = max(done + 1, i - reach), min(len(words), i + reach)
+            # Any surviving word of the notice that stands once in the template gives its place.
+            start = i - self.offset[t][words[i]]
+            begin, end = max(done + 1, start - slack), min(len(words), start + reach)
             region = words[begin:end]
-            pairs = self._tight(patience(template, region), template)
-            share = len(pairs) / len(template)
-            if share >= self.coverage and naming <= {template[a] for a, _ in pairs}:
+            if (Counter(region) & wanted).total() < least:
+                continue
+            pairs = self._tight(_drawn_together(patience(template, region), region), template)
+            if len(pairs) >= least and telling <= {template[a] for a, _ in pairs}:
                 first, last = begin + pairs[0][1], begin + pairs[-1][1]
-                out.append((self.names[t], first, last, share))
+                share = len(pairs) / len(template)
+                out.append((-len(pairs), -share, t, first, last, share))
                 done = last
         return out
 

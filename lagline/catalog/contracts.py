@@ -10,6 +10,7 @@ from lagline.catalog.registry import clean, features, query, raw
 from lagline.functions import columns as C
 from lagline.operators import contracts as Q
 from lagline.operators import events as E
+from lagline.sources.footers import table_facts
 from lagline.sources.lineitem import faulty_events, text_events
 from lagline.sources.reports import departure_range, manifest
 
@@ -64,6 +65,20 @@ def _(spark, folder):
     return table.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(table.columns)).cast("bigint").alias("columns"))
 
 
+@query(
+    "s21b_footer_facts",
+    """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(1 AS BIGINT) AS schemas,
+    CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS BIGINT) AS columns,
+    strftime(min(l_shipdate), '%Y-%m-%d') AS low, strftime(max(l_shipdate), '%Y-%m-%d') AS high FROM lineitem""",
+)
+def _(spark, folder):
+    """Size, schema and date range of a stored table, from its footers."""
+    return table_facts(spark, f"{folder}/lineitem.parquet", "l_shipdate").select(
+        "rows", "schemas", F.size(F.split("columns", ", ")).cast("bigint").alias("columns"),
+        F.date_format("low", "yyyy-MM-dd").alias("low"), F.date_format("high", "yyyy-MM-dd").alias("high"),
+    )
+
+
 _PARSED_DATE = (
     "CASE WHEN regexp_full_match(service_date, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') "
     "THEN CAST(try_strptime(service_date, '%m/%d/%Y') AS DATE) END"

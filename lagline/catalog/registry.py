@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lagline.functions import columns as C
 from lagline.operators import events as E
 from lagline.operators import fallback as B
+from lagline.sources.footers import state_mark
 from lagline.sources.lineitem import raw_events
 from lagline.sources.work import materialize
 
@@ -60,13 +61,9 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 _made: dict[tuple, object] = {}
 
 
-def _state(spark: SparkSession, folder: str) -> tuple:
+def _state(spark: SparkSession, folder: str) -> str:
     """Files of the source table with sizes and times: what is kept is valid for this state only."""
-    files = spark.read.parquet(f"{folder}/lineitem.parquet").select(
-        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
-    )
-    mark = files.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
-    return tuple(mark)
+    return state_mark(spark, f"{folder}/lineitem.parquet")
 
 
 def remembered(name: str, build, spark: SparkSession, folder: str):

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lagline import schema as S
 from lagline.functions import columns as C
 from lagline.functions.quantiles import value_counts, weighted_percentile
+from lagline.sources.work import materialize
+
+BROADCAST_MARKS = 1_000_000  # 16 bytes each
 
 FEW_VALUES = 25
 EXAMPLES = 3
@@ -323,9 +326,32 @@ def missing_dates(df: DataFrame, day: str = "service_date", keys: Sequence[str]
     return spine.join(seen, [*keys, "day"], "left_anti")
 
 
-def duplicates(df: DataFrame, columns: Sequence[str] = tuple(S.RAW_COLUMNS)) -> DataFrame:
-    """Rows repeated over the supplied columns; null equals null."""
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+def row_marks(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row; equal rows have equal marks, unequal ones hardly ever."""
+    floating = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
+    # Grouping takes -0.0 for 0.0; hashes skip nulls, so which fields are null is hashed too.
+    values = [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if c in floating else F.col(c) for c in columns]
+    empty = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(empty, *values), F.xxhash64(F.lit(7), *reversed(values), empty)]
+
+
+def duplicates(df: DataFrame, columns: Sequence[str] = tuple(S.RAW_COLUMNS), marks=row_marks) -> DataFrame:
+    """Rows repeated over the supplied columns; null equals null.
+
+    Two hashes per row are counted first, and only rows whose hashes occur more than once are
+    compared by their columns: unique rows travel as 24 bytes, whatever their width, and equal
+    hashes of unequal rows change nothing.
+    """
+    first, second = marks(df, columns)
+    hashed = df.select(first.alias("__h1"), second.alias("__h2"), *columns)
+    counts = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = materialize(counts.where("__n > 1").select("__h1", "__h2"), "repeated-rows")
+    # Measured before it is sent to every executor; beyond that the join shuffles.
+    if repeated.count() <= BROADCAST_MARKS:
+        repeated = F.broadcast(repeated)
+    groups = (
+        hashed.join(repeated, ["__h1", "__h2"], "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    )
     return groups.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("additional_duplicate_rows"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_duplicate_groups"),

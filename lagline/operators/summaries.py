@@ -12,16 +12,36 @@ from lagline.functions.quantiles import value_counts, weighted_percentile
 
 DEVIATION = "on_time_performance_deviation_seconds"
 STATUS = "on_time_performance_status"
+WHOLE = "decimal(38,0)"
 
 
 def measured(clean: DataFrame) -> DataFrame:
     return clean.where("has_performance_measurement")
 
 
+def whole_sum(value: Column) -> Column:
+    """A sum of whole numbers without rounding, up to 38 digits."""
+    return F.sum(value.cast(WHOLE)).cast(WHOLE)
+
+
+def spread_about_mean(rows: Column, s1: Column, s2: Column) -> Column:
+    """Sum of squared distances from the mean of whole numbers, from their count and power sums.
+
+    The sums are moved to the whole part of the mean in exact decimals before anything is
+    rounded, so a large common offset cancels without loss.
+    """
+    count = rows.cast(WHOLE)
+    # A remainder is exact where a quotient is not.
+    rest = F.pmod(s1, count).cast(WHOLE)
+    centre = ((s1 - rest).cast(WHOLE) / count).cast(WHOLE)
+    about = (s2 - (centre * (centre * count + rest * 2).cast(WHOLE)).cast(WHOLE)).cast("double")
+    return about - rest.cast("double") * rest.cast("double") / rows
+
+
 def _moments() -> list[Column]:
-    """Summary columns over (deviation, status, n) rows of one group."""
-    x, n = F.col(DEVIATION).cast("double"), F.col("n")
-    rows, s1, s2 = F.sum(n), F.sum(x * n), F.sum(x * x * n)
+    """Summary columns over (deviation, status, n) rows of one group; deviations are whole seconds."""
+    x, n = F.col(DEVIATION).cast("decimal(19,0)"), F.col("n")
+    rows, s1, s2 = F.sum(n), whole_sum(x * n), whole_sum(x * x * n)
     p = weighted_percentile(DEVIATION, [0.5, 0.9, 0.95])
 
     def share(flag: Column) -> Column:
@@ -29,9 +49,9 @@ def _moments() -> list[Column]:
 
     return [
         rows.alias("records"),
-        (s1 / rows).alias("mean_deviation_seconds"),
+        (s1.cast("double") / rows).alias("mean_deviation_seconds"),
         p[0].alias("median_deviation_seconds"),
-        F.when(rows > 1, F.sqrt(F.greatest(s2 - s1 * s1 / rows, F.lit(0.0)) / (rows - 1))).alias(
+        F.when(rows > 1, F.sqrt(F.greatest(spread_about_mean(rows, s1, s2), F.lit(0.0)) / (rows - 1))).alias(
             "std_deviation_seconds"
         ),
         p[1].alias("p90_deviation_seconds"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lagline import schema as S
 from lagline.catalog import backtests as X
 from lagline.catalog import registry as R
+from lagline.catalog.prelude import over
 from lagline.operators import fallback as B
 from lagline.session import run_folder
-from lagline.sources import reports, tables
+from lagline.sources import archives, reports, tables
 from lagline.sources.work import materialize
 
 
@@ -104,3 +105,21 @@ def _(spark, folder):
     later = F.col("service_date") >= F.lit(end)
     changed = R.feature_table(spark, folder).withColumn(S.TARGET, F.when(later, F.col(S.TARGET) * 100 + 7).otherwise(F.col(S.TARGET)))
     return X.levels_of(B.fit(changed, [(X.ORIGINAL, B.month_cutoffs(["2026-05-01"]))]), X.ORIGINAL)
+
+
+@R.query(
+    "s5_archive_round_trip",
+    over(
+        "raw",
+        f"""SELECT source_archive, substr(source_file, 1, 4) || '.csv' AS source_file,
+        CAST(1 + row_number() OVER (PARTITION BY source_archive, substr(source_file, 1, 4) ORDER BY source_row_number)
+            AS BIGINT) AS source_row_number,
+        {', '.join(S.RAW_COLUMNS)} FROM raw""",
+    ), text=("service_date", *S.TIMESTAMPS, *S.INTEGERS),)
+def _(spark, folder):
+    """One archive per supplier with a file per year; read back, checked and numbered as files are."""
+    path = _place(spark, "archives")
+    text = archives.as_text(R.raw(spark, folder))
+    year = F.concat(F.substring("source_file", 1, 4), F.lit(".csv"))
+    archives.write_archives(text.withColumn("year", year), path, "source_archive", "year", "source_row_number")
+    return archives.read_archives(spark, path)

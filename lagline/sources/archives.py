@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -231,3 +232,99 @@ def _plain_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     block.insert(2, "source_row_number", range(first, first + len(block)))
                     first += len(block)
                     yield block
+
+
+# ---- writing ------------------------------------------------------------------------------
+
+
+def as_text(events: DataFrame) -> DataFrame:
+    """Raw columns as the text a delimited file holds; missing values become empty fields."""
+
+    def text(c: str):
+        if c in S.TIMESTAMPS:
+            return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+        return F.date_format(c, "M/d/yyyy") if c == "service_date" else F.col(c).cast("string")
+
+    others = [c for c in events.columns if c not in S.RAW_COLUMNS]
+    return events.select(*others, *[F.coalesce(text(c), F.lit("")).alias(c) for c in S.RAW_COLUMNS])
+
+
+def write_archives(text: DataFrame, folder: str, archive: str, member: str, order: str) -> DataFrame:
+    """One ZIP file per value of ``archive``, one CSV per ``member`` in it; returns (archive, files, rows).
+
+    An archive is one task's stream, in the order of ``order``, and no more than a batch of it
+    is held: choose archives that are small against the table. Each is written beside its place and moved there
+    when complete, so a task that runs again replaces its own file. The names must be safe as
+    file names; rows without one are refused.
+    """
+    columns = list(S.RAW_COLUMNS)
+    spark = text.sparkSession
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(location)
+    base = system.makeQualified(location).toString()
+
+    def write(batches):
+        done, current = [], None
+        try:
+            for batch in batches:
+                for (name, inner), rows in batch.groupby(["a", "m"], sort=False, dropna=False):
+                    if current is None or current.name != name:
+                        if current is not None:
+                            done.append(current.close())
+                        current = None
+                        current = _Archive(base, name)
+                    current.add(inner, columns, rows[columns].itertuples(index=False, name=None), len(rows))
+            if current is not None:
+                done.append(current.close())
+                current = None
+        finally:
+            if current is not None:
+                current.abandon()
+        if done:
+            yield pd.DataFrame(done, columns=["archive", "files", "rows"])
+
+    named = text.select(
+        F.coalesce(archive, F.raise_error("an archive without a name").cast("string")).alias("a"),
+        F.coalesce(member, F.raise_error("a file without a name").cast("string")).alias("m"),
+        F.col(order).alias("o"), *columns,
+    )
+    placed = named.repartition("a").sortWithinPartitions("a", "m", "o").drop("o")
+    written = placed.mapInPandas(write, "archive string, files bigint, rows bigint")
+    return materialize(written, "written-archives")
+
+
+class _Archive:
+    """A ZIP file that grows at a name of its own until it is complete."""
+
+    def __init__(self, base: str, name: str):
+        self.name, self.rows, self.members, self.entry, self.member = name, 0, 0, None, None
+        self.system, self.place = _locate(f"{base}/{name}")
+        self.growing = f"{self.place}.{uuid.uuid4().hex}.part"
+        self.stream = self.system.open_output_stream(self.growing)
+        self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, member: str, header: list[str], rows, count: int) -> None:
+        if member != self.member:
+            self._end_member()
+            self.member, self.members = member, self.members + 1
+            self.entry = io.TextIOWrapper(self.zip.open(member, "w", force_zip64=True), encoding="utf-8", newline="")
+            csv.writer(self.entry).writerow(header)
+        csv.writer(self.entry).writerows(rows)
+        self.rows += count
+
+    def _end_member(self) -> None:
+        if self.entry is not None:
+            self.entry.close()
+            self.entry = None
+
+    def close(self) -> tuple[str, int, int]:
+        self._end_member()
+        self.zip.close()
+        self.stream.close()
+        self.system.move(self.growing, self.place)
+        return self.name, self.members, self.rows
+
+    def abandon(self) -> None:
+        self.stream.close()
+        self.system.delete_file(self.growing)

@@ -199,3 +199,20 @@ def test_every_unfit_file_is_counted(spark, tmp_path):
         archives.read_archives(spark, str(tmp_path / "in"))
     assert error.value.violations == {"unfit_files": archives.SHOWN + 5}
     assert len(error.value.samples) == archives.SHOWN
+
+
+def test_written_archives_read_the_same(spark, tmp_path, raw):
+    folder = str(tmp_path / "made")
+    some = raw.where("source_row_number % 7 = 0").withColumn("route_name", F.lit('a "quoted",\nbroken, ü'))
+    text = archives.as_text(some).withColumn("day", F.col("source_file"))
+    for _ in range(2):  # a second writing replaces the first
+        made = archives.write_archives(text, folder, "source_archive", "day", "source_row_number")
+    assert made.agg(F.sum("rows")).first()[0] == some.count()
+    assert not list((tmp_path / "made").glob("*.part"))
+    got = archives.read_archives(spark, folder)
+    columns = ["source_archive", "source_file", *S.RAW_COLUMNS]
+    assert got.select(columns).exceptAll(some.select(columns)).count() == 0
+    assert some.select(columns).exceptAll(got.select(columns)).count() == 0
+    assert got.agg(F.min("source_row_number")).first()[0] == 2
+    with pytest.raises(Exception, match="without a name"):
+        archives.write_archives(text.withColumn("day", F.lit(None).cast("string")), folder, "source_archive", "day", "source_row_number")

@@ -24,6 +24,9 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(l_shipdate AS DATE) AS shipped",
         "(l_orderkey * 7919 + l_linenumber * 104729) % 1140 AS draw",
     )
+    # The filters of later steps are pushed into one generated method with all of this, and the JVM
+    # only compiles methods under 8,000 bytes: the expressions are kept short. From 900 to 959 the
+    # minute is 360 plus a multiple of 40, so draw is 560.
     shaped = items.selectExpr(
         "*",
         "date_add(DATE'2026-01-01', datediff(shipped, DATE'1995-01-01') % 181) AS service_date",
@@ -34,9 +37,9 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     based = shaped.selectExpr(
         "*",
         """(pk * 31 + ok * 17 + ln * 7) % 541 - 150
-           + CASE route_name WHEN '1' THEN 60 WHEN '4' THEN 0 WHEN '70' THEN 300 ELSE 120 END
-           + IF(minute BETWEEN 900 AND 959, 45, 0) + IF(pk % 997 = 0, 3000, 0) AS base""",
-        "CAST(service_date AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, minute, 0) AS scheduled",
+           + CASE WHEN sk % 10 <= 4 THEN 60 WHEN sk % 10 <= 7 THEN 0 WHEN sk % 10 = 8 THEN 300 ELSE 120 END
+           + IF(draw = 560, 45, 0) + IF(pk % 997 = 0, 3000, 0) AS base""",
+        "timestampadd(MINUTE, minute, CAST(service_date AS TIMESTAMP_NTZ)) AS scheduled",
     )
     measured = based.selectExpr(
         "*",

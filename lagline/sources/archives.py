@@ -49,7 +49,16 @@ def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame
         .load(folder)
         .select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
     )
-    return files.repartition("path").mapInPandas(_hash, "file string, bytes bigint, sha256 string")
+    return files.repartition(_tasks(spark), "path").mapInPandas(_hash, "file string, bytes bigint, sha256 string")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that files are dealt to.
+
+    Given as a number, because adaptive execution knows only the bytes of the names, and would
+    bring all files together in one task.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,16 +131,29 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _by_member(members: DataFrame) -> DataFrame:
     """Members spread over tasks: one hot archive does not hold the others up."""
-    return members.repartition("archive", "member")
+    return members.repartition(_tasks(members.sparkSession), "archive", "member")
 
 
 def inspect(archives: DataFrame) -> DataFrame:
     """Every member with its size and, if it must be refused, the reason."""
-    members = archives.select("path", "archive").repartition("archive").mapInPandas(_inspect, MEMBER)
+    members = archives.select("path", "archive").repartition(_tasks(archives.sparkSession), "archive").mapInPandas(_inspect, MEMBER)
     return _by_member(members).mapInPandas(_check, MEMBER)
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of rows; those of small members go on together."""
+    held, rows = [], 0
+    for block in _blocks(batches):
+        held.append(block)
+        rows += len(block)
+        if rows >= BLOCK_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, name, member in zip(batch["path"], batch["archive"], batch["member"]):
             with _open(path) as archive, archive.open(member) as stream:
@@ -212,7 +234,7 @@ def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     ddl = ", ".join(
         f"{c} {'bigint' if c == 'source_row_number' else 'string'}" for c in S.PROVENANCE + S.RAW_COLUMNS
     )
-    text = members.repartition("path").mapInPandas(_plain_records, ddl)
+    text = members.repartition(_tasks(spark), "path").mapInPandas(_plain_records, ddl)
     enforce(text, parse_rules())
     return typed_events(text)
 
@@ -289,7 +311,7 @@ def write_archives(text: DataFrame, folder: str, archive: str, member: str, orde
         F.coalesce(member, F.raise_error("a file without a name").cast("string")).alias("m"),
         F.col(order).alias("o"), *columns,
     )
-    placed = named.repartition("a").sortWithinPartitions("a", "m", "o").drop("o")
+    placed = named.repartition(_tasks(spark), "a").sortWithinPartitions("a", "m", "o").drop("o")
     written = placed.mapInPandas(write, "archive string, files bigint, rows bigint")
     return materialize(written, "written-archives")
 

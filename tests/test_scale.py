@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lagline.functions import columns as C
 from lagline.operators import events as E
+from lagline.operators import fallback as B
+from lagline.sources import archives
 from lagline.sources.lineitem import raw_events
 
 COMPILED = 8000  # bytes of a method that the JVM still compiles
@@ -43,3 +45,39 @@ def test_the_peak_offset_follows_the_scheduled_minute(spark, tmp_path):
         if r.ok >= 0:
             plain = (31 + r.ok * 17 + r.ln * 7) % 541 - 150 + 60  # route 1
             assert r.deviation == plain + (45 if r.hour == 15 else 0)
+
+
+def test_archives_are_dealt_to_many_tasks(spark, tmp_path):
+    names = spark.range(60).selectExpr("concat('a', id) AS archive", "concat('/tmp/none/a', id) AS path", "'x.csv' AS member")
+    parts = archives._by_member(names).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert parts > 1
+    text = raw_text(spark)
+    archives.write_archives(text, f"{tmp_path}/zips", "source_archive", "source_file", "source_row_number")
+    checked = archives.inspect(archives.list_archives(spark, f"{tmp_path}/zips")).withColumn("task", F.spark_partition_id())
+    assert checked.count() == 40
+    assert checked.select("task").distinct().count() > 1
+
+
+def test_small_members_keep_their_rows_and_numbers(spark, tmp_path):
+    archives.write_archives(raw_text(spark), f"{tmp_path}/zips", "source_archive", "source_file", "source_row_number")
+    found = archives.text_records(archives.inspect(archives.list_archives(spark, f"{tmp_path}/zips"))).collect()
+    assert sorted((r.source_archive, r.source_row_number, r.trip_id) for r in found) == sorted(
+        (f"a{i % 40}.zip", 2 + i // 40, f"t{i}") for i in range(120)
+    )
+
+
+def raw_text(spark):
+    from lagline import schema as S
+
+    given = {"trip_id": "concat('t', id)"}
+    return spark.range(120).selectExpr(
+        "concat('a', id % 40, '.zip') AS source_archive", "'x.csv' AS source_file", "id AS source_row_number",
+        *[f"{given.get(c, repr(c))} AS {c}" for c in S.RAW_COLUMNS],
+    )
+
+
+def test_counts_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "COUNTS_OF_TASK", 100)
+    counts = spark.range(2500)
+    assert B._tasks(counts) == 25
+    assert B._tasks(spark.range(0)) == spark.sparkContext.defaultParallelism

@@ -61,6 +61,7 @@ TABLE_COLUMNS = {
     "n": "bigint",
 }
 COUNTS_AT_ONCE = 1 << 17  # rows of counts that a task answers together
+COUNTS_OF_TASK = 1 << 18  # rows of counts in a task, on average
 
 
 @dataclass(frozen=True)
@@ -176,7 +177,6 @@ def fit(
         for w in windows
     }
     minute = "scheduled_minute_of_service_day"
-    minute = "scheduled_minute_of_service_day"
     finest = ["route_name", "stop_id", "weekday", "day_type", minute, "step", "value"]
     rows = _with_step(history, edges).withColumn("value", F.col(S.TARGET))
     counts = materialize(rows.where("value IS NOT NULL").groupBy(*finest).agg(F.count(F.lit(1)).alias("n")), "delay-counts")
@@ -184,7 +184,7 @@ def fit(
     shapes = sorted({(c.day, c.minutes) for c, _ in planned})
     span = math.lcm(*[m for _, m in shapes])
     placed = counts.withColumn("span", F.expr(f"int({minute} div {span})")).withColumnRenamed(minute, "slot")
-    placed = placed.repartition("route_name", "stop_id", "span")
+    placed = placed.repartition(_tasks(counts), "route_name", "stop_id", "span")
     tables = []
 
     def add(frame: DataFrame, depth: int, keys: list[str], asked: Iterable[Window], **shape):
@@ -233,6 +233,15 @@ def fit(
     return materialize(model, "fallback-model", ["depth"])
 
 
+def _tasks(counts: DataFrame) -> int:
+    """Tasks that the counts are dealt to, by their number of rows.
+
+    Given as a number, because adaptive execution would bring partitions together by their
+    compressed bytes, and a task's sorts and its time go with its rows.
+    """
+    return max(counts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // COUNTS_OF_TASK))
+
+
 def _summed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts per coarser keys."""
     return counts.groupBy(*keys, "step", "value").agg(F.sum("n").alias("n"))

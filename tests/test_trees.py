@@ -130,3 +130,24 @@ def test_far_residuals_have_exact_medians(spark):
     model = T.fit(rows, "day", F.col("y"), ["x"], ["c"], [T.Fit("a", 1, 2)], T.Settings(0, 0.1, 1, 1.0))["a"]
     assert model.first / T.UNIT == -1e6 + 0.25
     assert T.fit(rows.limit(0), "day", F.col("y"), ["x"], ["c"], [T.Fit("a", 1, 2)], SETTINGS)["a"].trees == []
+
+
+def test_only_the_smaller_side_is_counted():
+    """Of 1,000 rows 900 go left: the job counts the 100 others and follows no row to the left."""
+    rng = np.random.default_rng(5)
+    bins = np.repeat([[0, 1]], [900, 100], axis=1).astype(np.uint8)
+    r = rng.integers(-9000, 9000, 1000) + 20000 * bins[0].astype(int)
+    cuts, fits = T.Bins([np.array([0.5])], []), [T.Fit("a", 1, 2)]
+    root = T.counted(T.signed(bins, r), cuts.starts, r)
+    grown = T.Growth(root, 2)
+    grown.nodes[0].n = T.SMALL + 1
+    T._choose([(grown, [0])], fits, {1: cuts}, T.Settings(1, 0.1, 20, 1.0))
+    assert grown.ask() == [0] and grown.nodes[0].left_n == 900
+    grown.nodes[0].n = 1000
+    tree, wanted = grown.tree()
+    assert [(node, len(rows)) for node, rows in tree.reach(bins, wanted)] == [(2, 100)]
+    (counts,) = T._counts([tree], [wanted], fits, {1: cuts})(({1: bins}, r, [np.zeros(1000, np.int64)]))
+    grown.grow(counts)
+    for node, inside in ((1, bins[0] == 0), (2, bins[0] == 1)):
+        assert (grown.nodes[node].counts == T.counted(T.signed(bins[:, inside], r[inside]), cuts.starts, r[inside])).all()
+    assert tree.leaf(bins).tolist() == (bins[0] + 1).tolist()

@@ -316,7 +316,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hours = spark.range(24).select(F.col("id").cast("int").alias("scheduled_hour"))
-    return hours.subtract(clean(spark, folder).select(F.hour("scheduled_event_time").alias("scheduled_hour")))
+    # Some 24 values meet, not all events.
+    return hours.subtract(clean(spark, folder).select(F.hour("scheduled_event_time").alias("scheduled_hour")).distinct())
 
 
 @query(

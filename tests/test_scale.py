@@ -6,8 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+
+from lagline import catalog
 from lagline.functions import columns as C
-from lagline.operators import events as E
+from lagline.operators import contracts, events as E
 from lagline.operators import fallback as B
 from lagline.sources import archives
 from lagline.sources.lineitem import raw_events
@@ -81,3 +84,21 @@ def test_counts_are_dealt_by_their_rows(spark, monkeypatch):
     counts = spark.range(2500)
     assert B._tasks(counts) == 25
     assert B._tasks(spark.range(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_unseen_hours_meet_distinct_hours(spark):
+    """The events are grouped by hour before the join, not joined one by one."""
+    plan = catalog.queries()["u2_unseen_hours"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftAnti") :]
+    assert join.count("Aggregate [scheduled_hour") >= 1
+
+
+def test_changed_rows_count_as_a_multiset(spark):
+    """Rows travel as hashes; nulls, repeats, wider types and the sign of zero are no changes."""
+    before = spark.createDataFrame([(1, "a", 0.0), (1, "a", 0.0), (2, None, None), (3, "c", 1.0), (3, "c", 1.0)], "n int, s string, x double")
+    after = spark.createDataFrame([(1, "a", -0.0), (1, "a", 0.0), (2, None, None), (3, "c", 1.0), (None, "c", 1.0)], "n long, s string, x double")
+    columns = ["n", "s", "x"]
+    assert contracts.changed_rows(before, after, columns).first().rows_changed == 2
+    assert contracts.changed_rows(before, before, columns).first().rows_changed == 0
+    assert contracts.changed_rows(before.limit(0), before.limit(0), columns).first().rows_changed == 0
+    assert contracts.changed_rows(before, after.limit(0), columns, lambda *_: [F.lit(1), F.lit(2)]).first().rows_changed == 5

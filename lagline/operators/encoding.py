@@ -66,23 +66,26 @@ class Encoder:
         fields = [c for c in S.CATEGORICAL for _ in self.labels(c)]
         return fields + list(S.NUMERICAL)
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        """Append the ``features`` vector."""
+    def indexed(self, rows: DataFrame) -> DataFrame:
+        """Append ``__<category>_index``: the place of its label, one more for unknown values."""
         prepared = rows.withColumns({f"__{c}": filled(F.col(c)) for c in S.CATEGORICAL})
         for c in sorted(self.has_rare):
             infrequent = self.rare.where(F.col("field") == c).select(F.col("value").alias(f"__rare_{c}"))
             prepared = prepared.join(infrequent, F.col(f"__{c}") == F.col(f"__rare_{c}"), "left").withColumn(
                 f"__{c}", F.when(F.col(f"__rare_{c}").isNotNull(), INFREQUENT).otherwise(F.col(f"__{c}"))
             )
-        prepared = prepared.withColumns({
+        for c in S.CATEGORICAL:
+            prepared = StringIndexerModel.from_labels(
+                self.labels(c), inputCol=f"__{c}", outputCol=f"__{c}_index", handleInvalid="keep"
+            ).transform(prepared)
+        return prepared
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Append the ``features`` vector."""
+        indexed = self.indexed(rows).withColumns({
             f"__{c}": (F.col(c).cast("double") - F.lit(self.moments[c][0])) / F.lit(self.moments[c][1])
             for c in S.NUMERICAL
         })
-        indexed = prepared
-        for c in S.CATEGORICAL:
-            indexed = StringIndexerModel.from_labels(
-                self.labels(c), inputCol=f"__{c}", outputCol=f"__{c}_index", handleInvalid="keep"
-            ).transform(indexed)
         # "keep" gives unknown values one more index; dropping the last makes them all zero.
         encoder = OneHotEncoder(
             inputCols=[f"__{c}_index" for c in S.CATEGORICAL],

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from lagline import schema as S
 from lagline.operators import encoding as N
 from lagline.operators import fallback as B
+from lagline.operators import forest as O
 from lagline.operators.metrics import regression_metrics
 
 # ---- Fixed values: model names and settings --------------------------------------------
@@ -92,45 +93,40 @@ def full_comparison(
     return comparison(features, rows).withColumn("selected_for_test", F.col("model") == MODELS[chosen])
 
 
-def estimator(name: str, rows: int, target_spread: float, rows_per_tree: int | None = None):
-    """One fixed, untuned model over the encoded vector; a forest's trees may see fewer rows."""
-    if name == "ridge":
-        # Spark divides the squared loss by the rows and scales the target by its spread;
-        # undoing both gives the penalty alpha on raw coefficients.
-        return LinearRegression(
-            featuresCol="features",
-            labelCol=S.TARGET,
-            solver="auto",  # the normal equations up to 4,096 columns, l-bfgs on the same objective beyond
-            maxIter=1000,
-            tol=1e-10,
-            elasticNetParam=0.0,
-            standardization=False,
-            regParam=RIDGE_ALPHA / rows * target_spread,
-        )
-    if name == "random_forest":
-        return RandomForestRegressor(
-            featuresCol="features",
-            labelCol=S.TARGET,
-            numTrees=FOREST["trees"],
-            maxDepth=FOREST["depth"],
-            minInstancesPerNode=FOREST["leaf"],
-            featureSubsetStrategy="sqrt",
-            subsamplingRate=min(1.0, rows_per_tree / rows) if rows_per_tree else 1.0,
-            seed=FOREST["seed"],
-            maxMemoryInMB=1024,
-        )
-    raise ValueError(f"unknown model: {name}")
-
-
-def fit_model(name: str, training: DataFrame) -> tuple[N.Encoder, PipelineModel]:
-    """Encoder and model, both fitted on the training rows only."""
+def ridge(rows: int, target_spread: float) -> LinearRegression:
+    """The fixed, untuned linear model over the encoded vector."""
+    # Spark divides the squared loss by the rows and scales the target by its spread;
+    # undoing both gives the penalty alpha on raw coefficients.
+    return LinearRegression(
+        featuresCol="features",
+        labelCol=S.TARGET,
+        solver="auto",  # the normal equations up to 4,096 columns, l-bfgs on the same objective beyond
+        maxIter=1000,
+        tol=1e-10,
+        elasticNetParam=0.0,
+        standardization=False,
+        regParam=RIDGE_ALPHA / rows * target_spread,
+    )
+
+
+def fit_model(name: str, training: DataFrame, rows_per_tree: int | None = None) -> tuple[N.Encoder, PipelineModel | O.Forest]:
+    """Encoder and model, both fitted on the training rows only; a forest's trees may see fewer rows."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model: {name}")
     encoder = N.Encoder.fit(training)
-    encoded = encoder.transform(training).select("features", F.col(S.TARGET).cast("double").alias(S.TARGET))
-    rows, spread = training.agg(F.count(F.lit(1)), F.stddev_pop(S.TARGET)).first()
-    return encoder, Pipeline(stages=[estimator(name, rows, spread)]).fit(encoded)
+    rows, spread, mean = training.agg(F.count(F.lit(1)), F.stddev_pop(S.TARGET), F.avg(S.TARGET)).first()
+    if name == "ridge":
+        encoded = encoder.transform(training).select("features", F.col(S.TARGET).cast("double").alias(S.TARGET))
+        return encoder, Pipeline(stages=[ridge(rows, spread)]).fit(encoded)
+    layout = O.Layout(tuple(len(encoder.labels(c)) for c in S.CATEGORICAL), O.fit_edges(training, S.NUMERICAL))
+    settings = O.Settings(**FOREST, rate=min(1.0, rows_per_tree / rows) if rows_per_tree else 1.0)
+    indexes = [f"__{c}_index" for c in S.CATEGORICAL]
+    return encoder, O.fit(encoder.indexed(training), S.TARGET, float(round(mean)), layout, indexes, S.NUMERICAL, settings)
 
 
-def predict(encoder: N.Encoder, model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(encoder: N.Encoder, model: PipelineModel | O.Forest, rows: DataFrame) -> DataFrame:
+    if isinstance(model, O.Forest):
+        return model.predict(encoder.indexed(rows)).select(*rows.columns, "estimate")
     return model.transform(encoder.transform(rows)).withColumnRenamed("prediction", "estimate")
 
 
@@ -165,13 +161,12 @@ def final_predictions(features: DataFrame, name: str) -> tuple[DataFrame, N.Enco
     )
 
 
-def importance(spark, encoder: N.Encoder, model: PipelineModel) -> DataFrame:
+def importance(spark, encoder: N.Encoder, model: PipelineModel | O.Forest) -> DataFrame:
     """Importance of the encoded columns, added up to the fields they came from."""
-    fitted = model.stages[-1]
-    if hasattr(fitted, "featureImportances"):
-        weights, method = fitted.featureImportances.toArray(), "impurity-based importance"
+    if isinstance(model, O.Forest):
+        weights, method = model.importances, "impurity-based importance"
     else:
-        weights = abs(fitted.coefficients.toArray())
+        weights = abs(model.stages[-1].coefficients.toArray())
         weights, method = weights / weights.sum(), "normalized absolute coefficient"
     pairs = list(zip(encoder.field_of_position(), map(float, weights), strict=True))
     return (

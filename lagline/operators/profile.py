@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +17,7 @@ BROADCAST_MARKS = 1_000_000  # 16 bytes each
 
 FEW_VALUES = 25
 EXAMPLES = 3
+HEAD = 1000  # rows that a pass for the examples brings to the driver
 DELAYS = ["delay_on_departure_seconds", "on_time_performance_deviation_seconds"]
 
 
@@ -38,21 +41,41 @@ def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def first_values(df: DataFrame, columns: Sequence[str], top: int = EXAMPLES) -> DataFrame:
     """The first distinct values of each column by provenance, joined as text.
 
-    Every round is one aggregate without keys: the earliest value of each column that the
-    earlier rounds have not found. Tasks send one row each, whatever the values look like,
-    and ``top`` values per column come back.
+    Every pass takes the first ``HEAD`` rows that have a value not found yet in a column that still
+    lacks some, so its rows hold each such column's next values. What ``top`` passes don't find
+    comes from aggregates without keys: the earliest new value of each column, one row per task.
+    Rows of one place count by value; where a pass ends amid a place, that place is left to the next.
     """
     place = F.struct(*[F.col(c) for c in S.PROVENANCE])
     found: dict[str, list[str]] = {c: [] for c in columns}
+
+    def new(c: str) -> Column:
+        value = F.col(c).cast("string")
+        return value.isNotNull() & ~value.isin(found[c]) if found[c] else value.isNotNull()
+
+    left = list(columns)
     for _ in range(top):
-        earliest = []
-        for i, c in enumerate(columns):
-            value = F.col(c).cast("string")
-            new = value.isNotNull() & ~value.isin(found[c]) if found[c] else value.isNotNull()
-            earliest.append(F.min(F.when(new, F.struct(place.alias("place"), value.alias("value"))))["value"].alias(f"v{i}"))
-        for c, value in zip(columns, df.agg(*earliest).first()):
+        values = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(left)]
+        taken = df.where(functools.reduce(Column.__or__, map(new, left))).select(place.alias("place"), *values)
+        head = taken.orderBy(*[f"place.{c}" for c in S.PROVENANCE]).limit(HEAD).collect()
+        ended = len(head) < HEAD
+        for _, rows in itertools.groupby(head if ended else [r for r in head if r[0] != head[-1][0]], key=lambda r: r[0]):
+            for c, cells in zip(left, list(zip(*rows))[1:]):
+                for value in sorted({v for v in cells if v is not None} - set(found[c])):
+                    found[c] = [*found[c], value][:top]
+        left = [] if ended else [c for c in left if len(found[c]) < top]
+        if not left:
+            break
+    while left:
+        earliest = [
+            F.min(F.when(new(c), F.struct(place.alias("place"), F.col(c).cast("string").alias("value"))))["value"].alias(f"v{i}")
+            for i, c in enumerate(left)
+        ]
+        nexts = dict(zip(left, df.agg(*earliest).first()))
+        for c, value in nexts.items():
             if value is not None:
                 found[c].append(value)
+        left = [c for c in left if nexts[c] is not None and len(found[c]) < top]
     rows = [(c, " | ".join(values)) for c, values in found.items()]
     return df.sparkSession.createDataFrame(rows, "column string, examples string")
 

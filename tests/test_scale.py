@@ -102,3 +102,30 @@ def test_changed_rows_count_as_a_multiset(spark):
     assert contracts.changed_rows(before, before, columns).first().rows_changed == 0
     assert contracts.changed_rows(before.limit(0), before.limit(0), columns).first().rows_changed == 0
     assert contracts.changed_rows(before, after.limit(0), columns, lambda *_: [F.lit(1), F.lit(2)]).first().rows_changed == 5
+
+
+def test_examples_come_from_the_first_rows(spark, monkeypatch):
+    """First values by provenance from bounded heads of rows, with ties, nulls and late values."""
+    from lagline.operators import profile as P
+
+    rows = [("a", "f", i // 3, "same", None if i < 40 else str(i % 2), f"x{(i * 7) % 5}", "late" if i == 59 else None, None) for i in range(60)]
+    rows += [(None, "f", 9, "same", None, "null place", None, None)]
+    names = ["p", "q", "r", "s", "t"]
+    df = spark.createDataFrame(rows, "source_archive string, source_file string, source_row_number long, " + ", ".join(f"{n} string" for n in names))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[:3]))
+    want = {}
+    for i, n in enumerate(names, 3):
+        first = {}
+        for at, r in enumerate(ordered):
+            if r[i] is not None:
+                first.setdefault(r[i], (r[0] is not None, r[2]))
+        want[n] = " | ".join(sorted(first, key=lambda v: (first[v], v))[:3])
+    for head in (1000, 7, 2):  # whole, cut, and fewer rows than a place has
+        monkeypatch.setattr(P, "HEAD", head)
+        assert {r[0]: r[1] for r in P.first_values(df.repartition(4), names).collect()} == want
+    jobs = spark.sparkContext.statusTracker()
+    monkeypatch.setattr(P, "HEAD", 1000)
+    spark.sparkContext.setJobGroup("examples", "examples")
+    P.first_values(df.repartition(4), ["r"])
+    assert len(jobs.getJobIdsForGroup("examples")) <= 2  # three rounds over all rows before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -129,3 +129,19 @@ def test_examples_come_from_the_first_rows(spark, monkeypatch):
     P.first_values(df.repartition(4), ["r"])
     assert len(jobs.getJobIdsForGroup("examples")) <= 2  # three rounds over all rows before
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_folders_are_written_without_sorting_the_rows(spark, monkeypatch):
+    """A task keeps a file per folder open; rows of further folders are written as well."""
+    from pyspark.sql import DataFrameWriter
+
+    from lagline.sources import work
+
+    setting, held, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (held.append(int(spark.conf.get(setting))), write(self, path))[1])
+    rows = spark.range(1000).selectExpr("id", "IF(id % 21 = 20, NULL, id % 21) AS folder")
+    for folders in (work.OPEN_FILES, 2):
+        monkeypatch.setattr(work, "OPEN_FILES", folders)
+        back = work.materialize(rows, "folders", ["folder"])
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert held == [16, 2] and spark.conf.get(setting) == "0"

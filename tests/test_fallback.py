@@ -207,3 +207,40 @@ def test_batches_of_counts_change_nothing(spark, monkeypatch):
     names = ["day_kind", "minutes", "hist_days", "hist_end", "route_name", "stop_id", "day_key", "slot"]
     got = {tuple(r[n] for n in names): (r["median"], r["n"]) for r in found.where("depth = 0").collect()}
     assert got == {k: (float(np.median(v)), len(v)) for k, v in plain.items()}
+
+
+def test_counts_are_kept_per_planned_slot(spark, monkeypatch):
+    """One row per slot and delay, not per minute, and the same medians beside finer slots."""
+    made = {}
+    write = B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, label, *a: made.setdefault(label, []).append(write(df, label, *a)) or made[label][-1])
+    rows = [("2026-01-01", r, "A", 3, m, 10 + m // 60) for r in ("1", None) for m in range(60, 180)]
+    history = frame(spark, rows)
+    hour, minute = B.Config("hour", minutes=60, minimum=1), B.Config("minute", minutes=1, minimum=1)
+    alone = B.fit(history, [(hour, FEBRUARY)])
+    assert made["delay-counts"][0].count() == 4  # 240 before
+    both = B.fit(history, [(hour, FEBRUARY), (minute, FEBRUARY)])
+    assert made["delay-counts"][1].count() == 240 and made["slot-counts"][0].count() == 4
+    found = both.where("minutes IS NULL OR minutes = 60")
+    assert alone.exceptAll(found).count() == 0 and found.exceptAll(alone).count() == 0
+    fine = {(r.route_name, r.slot): (r["median"], r.n) for r in both.where("depth = 0 AND minutes = 1").collect()}
+    assert fine == {(r, m): (10 + m // 60, 1) for _, r, _, _, m, _ in rows}
+
+
+def test_cycles_meet_the_events_once(spark, monkeypatch):
+    from lagline.plans import backtest as T
+
+    fits, fit = [], B.fit
+    monkeypatch.setattr(B, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    rows = [(f"2026-0{m}-0{d}", "1", s, 0, 600 + d, 10 * m + d) for m in (1, 2, 3, 4) for d in (1, 3, 8) for s in ("A", None)]
+    history = frame(spark, rows)
+    months = ["2026-03-01", "2026-04-01"]
+    found = T.audit_detail(history.withColumn("direction_code", F.lit("x")), B.BY_NAME["schedule_slot"], "week", months)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # two before
+    before = lambda day: np.median([y for d, *_, y in rows if d < day])
+    for r in found.collect():
+        month, day = r.month.isoformat(), r.service_date.isoformat()
+        base = before((r.month - dt.timedelta(days=2)).isoformat())
+        week = dt.date.fromisoformat(month) + dt.timedelta(days=7 * (day[-2:] == "08"))
+        assert (r.baseline_prediction, r.prediction) == (base, before((week - dt.timedelta(days=2)).isoformat())), r
+    assert len(fits) == 1

@@ -37,14 +37,13 @@ def three_estimates(features: DataFrame, candidate: B.Config, months: Sequence[s
     weeks = B.week_cutoffs(months)
     model = B.fit(features, [(base, B.month_cutoffs(months)), (base, weeks), (candidate, weeks)])
     rows = T.period(features, months)
-    first = B.predict_wide(rows, model, [base], F.col("month")).select(
-        *rows.columns, F.col(f"est_{base.name}").alias("baseline_prediction")
-    )
-    both = B.predict_wide(first, model, [base, candidate], C.week_start(F.col("service_date")))
-    return both.select(
-        *first.columns,
-        F.col(f"est_{base.name}").alias("weekly_baseline"),
-        F.col(f"est_{candidate.name}").alias("prediction"),
+    asked = rows.withColumn("week", C.week_start(F.col("service_date")))
+    cycles = {"month": {"monthly": base}, "week": {"weekly": base, "candidate": candidate}}
+    return B.predict_cycles(asked, model, cycles).select(
+        *rows.columns,
+        F.col("est_monthly").alias("baseline_prediction"),
+        F.col("est_weekly").alias("weekly_baseline"),
+        F.col("est_candidate").alias("prediction"),
     )
 
 
@@ -117,7 +116,8 @@ def final_scores(features: DataFrame, candidate: B.Config, months: Sequence[str]
     from lagline.sources.work import materialize
 
     # read by the weight search and again by the scoring
-    rows = materialize(three_estimates(features, candidate, months), "estimates")
+    used = ["month", "scheduled_minute_of_service_day", S.TARGET, "baseline_prediction", "weekly_baseline", "prediction"]
+    rows = materialize(three_estimates(features, candidate, months).select(*used), "estimates")
     final = final_detail(T.errors(rows), scorer)
     scores = scorer(final, ["month"])
     extra = final.groupBy("month").agg(
@@ -133,10 +133,16 @@ def final_scores(features: DataFrame, candidate: B.Config, months: Sequence[str]
 def weekly_control(features: DataFrame, months: Sequence[str]) -> DataFrame:
     """The baseline refreshed weekly against the baseline refreshed monthly."""
     base = B.BY_NAME["original_grouped"]
-    weekly = T.scored(T.weekly(features, [base], months))
-    monthly = T.scored(T.monthly(features, [base], months))
-    return A.gains(weekly, monthly).select(
-        "month", "baseline_mae", F.col("mae").alias("weekly_baseline_mae"), "gain_percent"
+    model = B.fit(features, [(base, B.month_cutoffs(months)), (base, B.week_cutoffs(months))])
+    asked = T.period(features, months).withColumn("week", C.week_start(F.col("service_date")))
+    both = B.predict_cycles(asked, model, {"month": {"monthly": base}, "week": {"weekly": base}})
+    cycles = F.array(*[
+        F.struct(F.lit(n).alias("cycle"), F.col(f"est_{n}").alias("estimate")) for n in ("monthly", "weekly")
+    ])
+    scores = M.score(M.with_error(both.select("month", S.TARGET, F.inline(cycles))), ["cycle", "month"])
+    found = [F.max(F.when(F.col("cycle") == n, F.col("mae"))).alias(a) for n, a in (("monthly", "baseline_mae"), ("weekly", "weekly_baseline_mae"))]
+    return scores.groupBy("month").agg(*found).withColumn(
+        "gain_percent", (1 - F.col("weekly_baseline_mae") / F.col("baseline_mae")) * 100
     )
 
 

@@ -228,7 +228,7 @@ def test_counts_are_kept_per_planned_slot(spark, monkeypatch):
 
 
 def test_cycles_meet_the_events_once(spark, monkeypatch):
-    from lagline.plans import backtest as T
+    from lagline.plans import audit as P, backtest as T
 
     fits, fit = [], B.fit
     monkeypatch.setattr(B, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
@@ -244,3 +244,5 @@ def test_cycles_meet_the_events_once(spark, monkeypatch):
         week = dt.date.fromisoformat(month) + dt.timedelta(days=7 * (day[-2:] == "08"))
         assert (r.baseline_prediction, r.prediction) == (base, before((week - dt.timedelta(days=2)).isoformat())), r
     assert len(fits) == 1
+    control = P.weekly_control(history, months).collect()
+    assert len(fits) == 2 and [*sorted(r.month.isoformat() for r in control)] == months  # two fits for it before

@@ -151,3 +151,46 @@ def test_only_the_smaller_side_is_counted():
     for node, inside in ((1, bins[0] == 0), (2, bins[0] == 1)):
         assert (grown.nodes[node].counts == T.counted(T.signed(bins[:, inside], r[inside]), cuts.starts, r[inside])).all()
     assert tree.leaf(bins).tolist() == (bins[0] + 1).tolist()
+
+
+@pytest.mark.parametrize("whole", [0, 1000])
+def test_fits_held_by_one_task_have_the_trees_of_counted_ones(frame, monkeypatch, whole):
+    """All fits counted by jobs, or only the larger one: nothing changes."""
+    usual = fitted(frame)
+    monkeypatch.setattr(T, "WHOLE", whole)
+    monkeypatch.setattr(T, "SMALL", 150)
+    other = fitted(frame.repartition(3))
+    for name, model in usual.items():
+        assert model.first == other[name].first and len(model.trees) == len(other[name].trees) == SETTINGS.rounds
+        for a, b in zip(model.trees, other[name].trees):
+            keep = a.feature >= 0
+            assert (a.value == b.value).all() and (a.feature == b.feature).all() and (a.left == b.left).all()
+            assert (a.goes_left[keep] == b.goes_left[keep]).all()
+
+
+def test_rounds_of_a_bounded_fit_take_no_jobs(spark, frame):
+    """As many jobs for thirty rounds as for two."""
+    took = []
+    for rounds in (2, 30):
+        group = f"rounds-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        T.fit(frame, "day", F.col("y"), ["x", "z"], ["c"], FITS, T.Settings(rounds, 0.3, 20, 10.0))
+        took.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert took[0] == took[1]
+
+
+def test_features_counted_together_have_the_same_counts(monkeypatch):
+    rng = np.random.default_rng(8)
+    cuts = T.Bins([np.arange(39.0), np.arange(200.0)], [{"a": 0, "b": 1}, {}])
+    bins = np.array([rng.integers(0, n + 1, 3000) for n in cuts.sizes], np.uint8)
+    r = rng.integers(-9000, 9000, 3000)
+    expected = T.counted(T.signed(bins, r), cuts.starts, r)[: 2 * cuts.starts[-1]]
+    monkeypatch.setattr(T, "CHUNK", 700)
+    for joined, groups in ((1, 4), (T.JOINED, 2)):
+        monkeypatch.setattr(T, "JOINED", joined)
+        held = T.Held(bins, r.copy(), cuts)
+        assert len(held.groups) == groups and (held.counted() == expected).all()
+        some = np.flatnonzero(bins[0] < 9)
+        assert (held.counted(some) == T.counted(T.signed(bins[:, some], r[some]), cuts.starts, r[some])[: 2 * cuts.starts[-1]]).all()
+        assert held.median(some) == np.median(r[some]) and held.median(some[1:]) == np.median(r[some[1:]])

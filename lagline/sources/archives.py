@@ -1,8 +1,8 @@
 """ZIP archives of delimited event files, read in parallel by member.
 
 The file listing and the checksums are plain Spark reads. Only unpacking needs Python on
-the executors: every archive member is one row, placed on its own, and its text streams
-through in blocks, so neither an archive nor a member is held whole.
+the executors: every member of a large archive is one row, placed on its own, those of a small one
+stay together, and text streams through in blocks, so neither a large archive nor a large member is held whole.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv as arrow_csv, fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lagline import schema as S
 from lagline.operators.contracts import ContractError, enforce, parse_rules, typed_events
@@ -25,6 +28,9 @@ from lagline.sources.work import materialize
 
 BLOCK_ROWS = 20_000
 MEMBER = "archive string, path string, member string, bytes bigint, problem string"
+FOUND = MEMBER + ", small boolean"
+SMALL_BYTES = 16 << 20  # unpacked members of an archive that one task reads without dealing them out
+WHOLE_BYTES = 4 << 20  # of a member that is parsed at once
 SHOWN = 20  # unfit files shown with an error; all are counted
 HASH_BLOCK = 1 << 20
 
@@ -89,6 +95,24 @@ def _text(stream) -> io.TextIOWrapper:
     return io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
 
 
+class _Opened:
+    """The archive opened last; members of one archive come one after another."""
+
+    def __init__(self):
+        self.path, self.archive = None, None
+
+    def __call__(self, path: str) -> zipfile.ZipFile:
+        if self.path != path:
+            self.close()
+            self.archive, self.path = _open(path), path
+        return self.archive
+
+    def close(self) -> None:
+        if self.archive is not None:
+            self.archive.close()
+        self.path, self.archive = None, None
+
+
 def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per CSV member, or one row with the reason an archive is refused."""
     for batch in batches:
@@ -98,76 +122,108 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with _open(path) as archive:
                     found = [m for m in archive.infolist() if not m.is_dir() and m.filename.lower().endswith(".csv")]
             except (zipfile.BadZipFile, ValueError) as error:
-                rows.append((name, path, None, None, f"not a readable archive: {error}"))
+                rows.append((name, path, None, None, f"not a readable archive: {error}", True))
                 continue
             if not found:
-                rows.append((name, path, None, None, "no CSV file"))
+                rows.append((name, path, None, None, "no CSV file", True))
+            small = sum(m.file_size for m in found) <= SMALL_BYTES
             rows += [
-                (name, path, m.filename, m.file_size, "encrypted" if m.flag_bits & 1 else None)
+                (name, path, m.filename, m.file_size, "encrypted" if m.flag_bits & 1 else None, small)
                 for m in sorted(found, key=lambda m: m.filename.casefold())
             ]
-        yield pd.DataFrame(rows, columns=["archive", "path", "member", "bytes", "problem"])
+        yield pd.DataFrame(rows, columns=["archive", "path", "member", "bytes", "problem", "small"])
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Header contract and checksum of each member; reading to the end verifies the CRC."""
+    opened = _Opened()
     for batch in batches:
-        for i, row in batch.iterrows():
-            if row["problem"] is None:
+        problems = list(batch["problem"])
+        for i, (path, member) in enumerate(zip(batch["path"], batch["member"])):
+            if problems[i] is None:
                 try:
-                    with _open(row["path"]) as archive:
-                        with archive.open(row["member"]) as stream:
-                            header = next(csv.reader(_text(stream)), None)
+                    with opened(path).open(member) as stream:
+                        header = next(csv.reader(text := _text(stream)), None)
                         if header != S.RAW_COLUMNS:
-                            batch.at[i, "problem"] = f"unexpected header: {header}"
+                            problems[i] = f"unexpected header: {header}"
                         else:
-                            with archive.open(row["member"]) as stream:
-                                while stream.read(1 << 20):
-                                    pass
+                            while stream.read(1 << 20):
+                                pass
+                        text.detach()
                 except (zipfile.BadZipFile, ValueError) as error:
-                    batch.at[i, "problem"] = str(error)
-        yield batch
+                    problems[i] = str(error)
+        yield batch.assign(problem=pd.Series(problems, batch.index, object))
+    opened.close()
 
 
 def _by_member(members: DataFrame) -> DataFrame:
-    """Members spread over tasks: one hot archive does not hold the others up."""
-    return members.repartition(_tasks(members.sparkSession), "archive", "member")
+    """Members spread over tasks: one hot archive does not hold the others up; a small one is opened once."""
+    apart = F.when(~F.col("small"), F.col("member"))
+    return members.repartition(_tasks(members.sparkSession), "archive", apart).sortWithinPartitions("archive", "path", "member")
 
 
 def inspect(archives: DataFrame) -> DataFrame:
-    """Every member with its size and, if it must be refused, the reason."""
-    members = archives.select("path", "archive").repartition(_tasks(archives.sparkSession), "archive").mapInPandas(_inspect, MEMBER)
-    return _by_member(members).mapInPandas(_check, MEMBER)
+    """Every member with its size and, if it must be refused, the reason; whether its archive is small."""
+    members = archives.select("path", "archive").repartition(_tasks(archives.sparkSession), "archive").mapInPandas(_inspect, FOUND)
+    return _by_member(members).mapInPandas(_check, FOUND)
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PARSED = arrow_csv.ConvertOptions(column_types={c: pa.string() for c in S.RAW_COLUMNS}, null_values=[], strings_can_be_null=False)
+_SERIAL = arrow_csv.ReadOptions(use_threads=False, block_size=WHOLE_BYTES + 1)
+_PLAIN = arrow_csv.ParseOptions(quote_char=False)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows; those of small members go on together."""
     held, rows = [], 0
     for block in _blocks(batches):
         held.append(block)
-        rows += len(block)
+        rows += block.num_rows
         if rows >= BLOCK_ROWS:
-            yield pd.concat(held, ignore_index=True)
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
             held, rows = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    opened = _Opened()
     for batch in batches:
-        for path, name, member in zip(batch["path"], batch["archive"], batch["member"]):
-            with _open(path) as archive, archive.open(member) as stream:
-                blocks = pd.read_csv(
-                    stream, dtype=str, encoding="utf-8-sig", chunksize=BLOCK_ROWS, keep_default_na=False,
-                    on_bad_lines="error",
-                )
-                first = 2  # the header is row 1
-                for block in blocks:
-                    block.insert(0, "source_archive", name)
-                    block.insert(1, "source_file", member.rsplit("/", 1)[-1])
-                    block.insert(2, "source_row_number", range(first, first + len(block)))
-                    first += len(block)
-                    yield block
+        for row in batch.to_pylist():
+            first = 2  # the header is row 1
+            for block in _parsed(opened(row["path"]), row["member"], row["bytes"]):
+                n = block.num_rows
+                own = [
+                    pa.repeat(pa.scalar(row["archive"], pa.string()), n),
+                    pa.repeat(pa.scalar(row["member"].rsplit("/", 1)[-1], pa.string()), n),
+                    pa.array(np.arange(first, first + n)),
+                ]
+                yield pa.table([*own, *block.columns], S.PROVENANCE + S.RAW_COLUMNS)
+                first += n
+    opened.close()
+
+
+def _parsed(archive: zipfile.ZipFile, member: str, size: int) -> Iterator[pa.Table]:
+    """Text columns of a member.
+
+    Arrow's parser takes plain text, for which it is the faster one. Quotes, and whatever it refuses,
+    such as short and long rows, are for that of pandas to read, to fill or to refuse.
+    """
+    if size <= WHOLE_BYTES:
+        with archive.open(member) as stream:
+            text = stream.read()
+        try:
+            if not (b'"' in text or b"\0" in text or text.count(b"\r") > text.count(b"\r\n")):
+                yield arrow_csv.read_csv(pa.BufferReader(text), _SERIAL, _PLAIN, _PARSED)
+                return
+        except pa.ArrowInvalid:
+            pass
+    with archive.open(member) as stream:
+        blocks = pd.read_csv(
+            stream, dtype=str, encoding="utf-8-sig", chunksize=BLOCK_ROWS, keep_default_na=False, on_bad_lines="error",
+        )
+        for block in blocks:
+            yield pa.table([pa.array(block[c], pa.string(), from_pandas=True) for c in S.RAW_COLUMNS], S.RAW_COLUMNS)
 
 
 def text_records(members: DataFrame) -> DataFrame:
@@ -175,7 +231,7 @@ def text_records(members: DataFrame) -> DataFrame:
     ddl = ", ".join(
         f"{c} {'bigint' if c == 'source_row_number' else 'string'}" for c in S.PROVENANCE + S.RAW_COLUMNS
     )
-    return _by_member(members.select("archive", "path", "member")).mapInPandas(_records, ddl)
+    return _by_member(members).select("archive", "path", "member", "bytes").mapInArrow(_records, ddl)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,6 +327,26 @@ def as_text(events: DataFrame) -> DataFrame:
     return events.select(*others, *[F.coalesce(text(c), F.lit("")).alias(c) for c in S.RAW_COLUMNS])
 
 
+def _lines(fields: list[pa.Array]) -> pa.Array:
+    """Rows as CSV lines; fields with a comma, a quote or a line break are quoted."""
+    fields = [f.cast(pa.large_string()).fill_null("") for f in fields]
+    unusual, nothing, quote, comma, end = '[,"\r\n]', *(pa.scalar(x, pa.large_string()) for x in ("", '"', ",", "\r\n"))
+    if pc.any(pc.match_substring_regex(pc.binary_join_element_wise(*fields, nothing), unusual)).as_py():
+        quoted = [pc.binary_join_element_wise(quote, pc.replace_substring(f, '"', '""'), quote, nothing) for f in fields]
+        fields = [pc.if_else(pc.match_substring_regex(f, unusual), q, f) for f, q in zip(fields, quoted)]
+    return pc.binary_join_element_wise(pc.binary_join_element_wise(*fields, comma), end, nothing)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int, int]]:
+    """(archive, member, first row, end) of rows that follow each other."""
+    a, m = batch.column(0), batch.column(1)
+    n = batch.num_rows
+    changes = pc.or_(pc.not_equal(a.slice(1), a.slice(0, n - 1)), pc.not_equal(m.slice(1), m.slice(0, n - 1)))
+    bounds = [0, *(np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+    for first, end in zip(bounds, bounds[1:]):
+        yield a[first].as_py(), m[first].as_py(), first, end
+
+
 def write_archives(text: DataFrame, folder: str, archive: str, member: str, order: str) -> DataFrame:
     """One ZIP file per value of ``archive``, one CSV per ``member`` in it; returns (archive, files, rows).
 
@@ -280,6 +356,7 @@ def write_archives(text: DataFrame, folder: str, archive: str, member: str, orde
     file names; rows without one are refused.
     """
     columns = list(S.RAW_COLUMNS)
+    header = (",".join(columns) + "\r\n").encode()
     spark = text.sparkSession
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -290,13 +367,18 @@ def write_archives(text: DataFrame, folder: str, archive: str, member: str, orde
         done, current = [], None
         try:
             for batch in batches:
-                for (name, inner), rows in batch.groupby(["a", "m"], sort=False, dropna=False):
+                if not batch.num_rows:
+                    continue
+                lines = _lines(batch.columns[2:])
+                _, offsets, data = lines.buffers()
+                at = np.frombuffer(offsets, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+                for name, inner, first, end in _runs(batch):
                     if current is None or current.name != name:
                         if current is not None:
                             done.append(current.close())
                         current = None
                         current = _Archive(base, name)
-                    current.add(inner, columns, rows[columns].itertuples(index=False, name=None), len(rows))
+                    current.add(inner, header, memoryview(data)[at[first] : at[end]], end - first)
             if current is not None:
                 done.append(current.close())
                 current = None
@@ -304,15 +386,17 @@ def write_archives(text: DataFrame, folder: str, archive: str, member: str, orde
             if current is not None:
                 current.abandon()
         if done:
-            yield pd.DataFrame(done, columns=["archive", "files", "rows"])
+            names, files, rows = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(files), pa.array(rows)], ["archive", "files", "rows"])
 
     named = text.select(
         F.coalesce(archive, F.raise_error("an archive without a name").cast("string")).alias("a"),
         F.coalesce(member, F.raise_error("a file without a name").cast("string")).alias("m"),
         F.col(order).alias("o"), *columns,
     )
-    placed = named.repartition(_tasks(spark), "a").sortWithinPartitions("a", "m", "o").drop("o")
-    written = placed.mapInPandas(write, "archive string, files bigint, rows bigint")
+    # Names often begin alike; their hashes differ early, so fewer rows are compared by whole names.
+    placed = named.repartition(_tasks(spark), "a").sortWithinPartitions(F.xxhash64("a"), "a", "m", "o").drop("o")
+    written = placed.mapInArrow(write, "archive string, files bigint, rows bigint")
     return materialize(written, "written-archives")
 
 
@@ -326,13 +410,13 @@ class _Archive:
         self.stream = self.system.open_output_stream(self.growing)
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
 
-    def add(self, member: str, header: list[str], rows, count: int) -> None:
+    def add(self, member: str, header: bytes, lines: memoryview, count: int) -> None:
         if member != self.member:
             self._end_member()
             self.member, self.members = member, self.members + 1
-            self.entry = io.TextIOWrapper(self.zip.open(member, "w", force_zip64=True), encoding="utf-8", newline="")
-            csv.writer(self.entry).writerow(header)
-        csv.writer(self.entry).writerows(rows)
+            self.entry = self.zip.open(member, "w", force_zip64=True)
+            self.entry.write(header)
+        self.entry.write(lines)
         self.rows += count
 
     def _end_member(self) -> None:

@@ -216,3 +216,50 @@ def test_written_archives_read_the_same(spark, tmp_path, raw):
     assert got.agg(F.min("source_row_number")).first()[0] == 2
     with pytest.raises(Exception, match="without a name"):
         archives.write_archives(text.withColumn("day", F.lit(None).cast("string")), folder, "source_archive", "day", "source_row_number")
+
+
+def test_a_small_archive_is_opened_once_a_pass(tmp_path, monkeypatch):
+    """Checking and reading its members; regular ones take no pandas."""
+    import pandas as pd
+    import pyarrow as pa
+
+    members = {f"{i}.csv": HEADER + "\n" + GOOD for i in range(5)}
+    path, opens, plain = f"file:{pack(tmp_path / 'in', 'a.zip', members)}/a.zip", [], archives._open
+    monkeypatch.setattr(archives, "_open", lambda p: opens.append(p) or plain(p))
+    found = next(archives._inspect(iter([pd.DataFrame({"path": [path], "archive": ["a.zip"]})])))
+    assert found["small"].all() and len(found) == 5
+    opens.clear()
+    assert next(archives._check(iter([found])))["problem"].isna().all() and len(opens) == 1
+    monkeypatch.setattr(pd, "read_csv", None)
+    batch = pa.RecordBatch.from_pandas(found[["archive", "path", "member", "bytes"]], preserve_index=False)
+    rows = pa.Table.from_batches(archives._records(iter([batch])))
+    assert len(opens) == 2 and rows.num_rows == 15 and rows.column_names == S.PROVENANCE + S.RAW_COLUMNS
+    assert rows["source_row_number"].to_pylist() == [2, 3, 4] * 5 and rows["stop_name"].to_pylist()[2] == "null"
+
+
+def test_lines_are_those_of_the_csv_writer():
+    import csv
+    import io
+
+    import pyarrow as pa
+
+    rows = [("a", "1.50", ""), ('say "x"', "p,q", "ü"), ("two\nlines", "", "\r"), (None, " pad ", "'"), ("plain", "b", "c")]
+    for some in (rows, rows[-1:]):
+        out = io.StringIO()
+        csv.writer(out).writerows(some)
+        assert "".join(archives._lines([pa.array(c, pa.string()) for c in zip(*some)]).to_pylist()) == out.getvalue()
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_irregular_members_read_as_before(spark, tmp_path, large):
+    """Short rows are filled, blank lines skipped, line breaks in quotes kept, an open quote is refused."""
+    short = GOOD.splitlines()[0].rsplit(",", 1)[0]
+    text = f'﻿{HEADER}\r\n{short}\n\n{GOOD}{GOOD.splitlines()[0].replace("Main St", chr(34) + "Main" + chr(10) + "St" + chr(34))}'
+    folder = pack(tmp_path / "in", "a.zip", {"a.csv": text})
+    members = archives.inspect(archives.list_archives(spark, str(folder))).withColumn("bytes", F.col("bytes") + large * archives.WHOLE_BYTES)
+    rows = archives.text_records(members).orderBy("source_row_number").collect()
+    assert [r["source_row_number"] for r in rows] == [2, 3, 4, 5, 6]
+    assert (rows[0]["on_time_performance_status"] or "") == "" and rows[4]["stop_name"] == "Main\nSt" and rows[1]["service_date"] == "1/5/2026"
+    pack(tmp_path / "in", "a.zip", {"a.csv": HEADER + "\n" + GOOD.replace("Main St", '"Main St', 1)})
+    with pytest.raises(Exception, match="EOF inside string"):
+        archives.read_archives(spark, str(folder)).count()

@@ -157,8 +157,8 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _by_member(members: DataFrame) -> DataFrame:
-    """Members spread over tasks: one hot archive does not hold the others up; a small one is opened once."""
-    apart = F.when(~F.col("small"), F.col("member"))
+    """Members spread over tasks: one hot archive does not hold the others up; one known as small is opened once."""
+    apart = F.when(~F.col("small"), F.col("member")) if "small" in members.columns else F.col("member")
     return members.repartition(_tasks(members.sparkSession), "archive", apart).sortWithinPartitions("archive", "path", "member")
 
 
